@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, simhash_dedup, token_counts, toxicity
+from . import bpe_codec, fingerprints, packing, simhash_dedup, token_counts, toxicity
 from .runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +43,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
