@@ -1,8 +1,57 @@
-"""Corpus pipeline: STAGES over documents, each written and read again as the next one's input."""
+"""Corpus pipeline over documents: toxicity, SimHash near-dedup, substring dedup, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; its rows are written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import packing, simhash_dedup, substring_dedup, toxicity
+from logloom.llm.queries import table, vocabulary
+from logloom.llm.runtime import saved, ship
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.7."""
+    ship(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="__toxicity")
+    return scored.where(F.col("__toxicity") < 0.7).select(*docs.columns)
+
+
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents with linked fingerprints the one with the least doc_id."""
+    ship(spark)
+    groups = simhash_dedup.near_duplicates(docs)
+    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of 50 words and more that an earlier one has; n_chars follows the text."""
+    ship(spark)
+    cut = substring_dedup.without_repeats(docs, min_words=50, similarity=0.8)
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return cut
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
+
+
+STAGES = [("toxicity", toxicity_stage), ("simhash_dedup", simhash_stage), ("substring_dedup", substring_stage), ("packing", packing_stage)]
+#: The model, the fingerprints and the tokens of the stages cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
