@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, embedding_dedup, fingerprints, packing, simhash_dedup, substring_dedup, token_counts, toxicity
+from . import bpe_codec, chat_format, embedding_dedup, fingerprints, license_scan, packing, simhash_dedup, substring_dedup, token_counts, toxicity
 from .runtime import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-1) whose texts are control strings."""
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(2).selectExpr("-1L as conv_id", "id as turn", "if(id = 0, 'user', 'assistant') as role").withColumn("text", F.lit(said))
+    own = own.select(*(F.col(c).cast(chats.schema[c].dataType) for c in chats.columns))
+    return chat_format.digests(chats.unionByName(own))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), coverage=0.8)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), 4096)
 
@@ -57,12 +71,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_token_counts": op3_token_counts,
     "op4_bpe_codec": op4_bpe_codec,
+    "op5_license_scan": op5_license_scan,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat_format": chat_format.oracle_sql()}
