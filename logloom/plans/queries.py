@@ -12,6 +12,7 @@ from ..functions.porter import porter_stem
 from ..functions.snippets import snippet_column
 from ..operators import copies, graph, postings, projects, ranking, reconcile, sessions
 from ..operators.filters import ProjectFilter
+from ..session import ship
 from . import testdata as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ WORDS = {"the": 1.0, "onth": 1.0, "dieein": 1.0, "tion": 0.3}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[name] = f
+        QUERIES[name] = lambda spark, d: (ship(spark), f(spark, d))[1]
         if sql:
             SQL[name] = sql
         return f

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages; projects and sources follow from the id."""
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = read(spark, sf_dir, "conversations")
     conv = F.col("conv_id")
     return rows.select(
         conv.cast("string").alias("session_id"), F.col("turn").cast("int").alias("seq"), F.concat(F.lit("s"), (conv % 3).cast("string")).alias("source"),
@@ -17,12 +24,12 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as messages of their source, filed under their language."""
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = read(spark, sf_dir, "documents")
     return rows.select(F.col("source").alias("session_id"), F.col("doc_id").cast("int").alias("seq"), "source", F.col("lang").alias("project"), F.lit("user").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = read(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").cast("string").alias("session_id"), F.lit(0).alias("seq"), F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("source"), F.concat(F.lit("p"), F.col("label").cast("string")).alias("project"), "embedding")
 
 
