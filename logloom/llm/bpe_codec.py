@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import tidy
 from .textnum import Memo, char_chunks, code_points, distinct, prefix_hash, span_hash, texts
 
 END = ""  # stands for the end-of-word suffix, once
@@ -273,4 +274,4 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", keep: tuple[st
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

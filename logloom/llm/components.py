@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, saved
+from .runtime import discard, saved, tidy
 
 
 class Forest:
@@ -63,7 +63,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     nothing. An empty table gives no rows.
     """
     pair = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    edges = saved(pair.mapInArrow(contracted, "u long, v long").distinct(), "links")
+    edges = saved(pair.mapInArrow(tidy(contracted), "u long, v long").distinct(), "links")
     state = None
     while True:
         sums = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, stars
-from .runtime import saved
+from .runtime import saved, tidy
 
 #: The index is fitted on at most about so many rows, chosen by a hash.
 SAMPLE = 16_384
@@ -115,7 +115,7 @@ def distinct_vectors(table: DataFrame, key: str, vector: str, label: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "label", "v"])
 
     kind = table.schema[label].dataType.simpleString()
-    return table.select(key, vector, label).mapInArrow(pack, f"id long, label {kind}, v binary")
+    return table.select(key, vector, label).mapInArrow(tidy(pack), f"id long, label {kind}, v binary")
 
 
 def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -172,7 +172,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
                 at = pa.array(np.concatenate(take))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.concatenate(role)), *(batch.column(k).take(at) for k in (1, 2, 3))], ["label", "list", "query", "v", "rep", "copies"])
 
-    placed = once.select("label", "v", "rep", "copies").mapInArrow(place, f"label {kind}, list int, query boolean, v binary, rep long, copies long")
+    placed = once.select("label", "v", "rep", "copies").mapInArrow(tidy(place), f"label {kind}, list int, query boolean, v binary, rep long, copies long")
     placed = saved(placed, "placed-vectors")
     sizes = placed.where("not query").groupBy("label", "list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
     cut = placed.join(sizes, ["label", "list"])
@@ -229,7 +229,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
                     state["members"].append(row)
         yield from flush()
 
-    found = work.repartition("label", "list", "chunk").sortWithinPartitions("label", "list", "chunk", "query").mapInArrow(search, "a long, links long, b long")
+    found = work.repartition("label", "list", "chunk").sortWithinPartitions("label", "list", "chunk", "query").mapInArrow(tidy(search), "a long, links long, b long")
     found = saved(found, "vector-links")
     counts = found.groupBy("a").agg(F.sum("links").alias("others"))
     joined = components(found.where("links = 0"), "a", "b")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
 from .textnum import code_points, mix, prefix_hash, span_hash
 
 SIZE = 64
@@ -172,7 +173,7 @@ def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", per_bucket
             late = np.concatenate([np.zeros(len(order), bool), np.ones(len(guest), bool)])
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(late), batch.column(0).take(take), payload.take(take)], ["bucket", "late", key, "payload"])
 
-    dealt = docs.select(key, text).mapInArrow(deal, StructType().add("bucket", IntegerType()).add("late", BooleanType()).add(docs.schema[key]).add("payload", BinaryType()))
+    dealt = docs.select(key, text).mapInArrow(tidy(deal), StructType().add("bucket", IntegerType()).add("late", BooleanType()).add(docs.schema[key]).add("payload", BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -208,4 +209,4 @@ def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", per_bucket
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), [kind, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2], strict=True)], schema.names)
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return dealt.repartition(max(parts, min(len(bounds), 4 * parts)), "bucket").sortWithinPartitions("bucket", "late", key, "payload").mapInArrow(run, schema)
+    return dealt.repartition(max(parts, min(len(bounds), 4 * parts)), "bucket").sortWithinPartitions("bucket", "late", key, "payload").mapInArrow(tidy(run), schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import tidy
 from .textnum import char_chunks, mix, span_hash, texts, utf8_bytes
 from .toxicity import words
 
@@ -207,4 +208,4 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, coverage: float =
                 columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), *columns], schema.names)
 
-    return rows.where(F.col(text).isNotNull()).mapInArrow(run, schema)
+    return rows.where(F.col(text).isNotNull()).mapInArrow(tidy(run), schema)

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe_codec import codec
+from .runtime import tidy
 from .textnum import Memo, texts
 
 
@@ -145,4 +146,4 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "te
         packer.finish()
         yield from out()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

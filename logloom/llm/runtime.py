@@ -1,38 +1,19 @@
-"""Session helpers of the operators: shipping the package to executors, shared tables, Arrow batch sizes."""
+"""Helpers of the operators: shared tables, and memory of Python workers."""
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import os
-import shutil
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
+from ..session import ship  # noqa: F401
 
-
-def ship(spark: SparkSession) -> None:
-    """Lets executors import this package, where their search path does not have it already."""
-    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
-    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    _shipped.add(context.applicationId)
-    if context.master.split("[")[0] == "local":
-        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), context.environment.get("PYTHONPATH")]))
-        return
-    folder = tempfile.mkdtemp()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file from the driver until the end
-    target = Path(folder, "logloom.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in (root / "logloom").rglob("*.py"):
-            z.write(p, p.relative_to(root))
-    context.addPyFile(str(target))
+#: Rows of about so many bytes are worked on at a time.
+BATCH = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,16 +45,29 @@ def discard(df: DataFrame | None) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextlib.contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows for plans that run inside the block."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+def in_parts(batches: Iterator, size: int = BATCH) -> Iterator:
+    """Record batches cut into slices of about ``size`` bytes, a row at least."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function over small batches, giving memory back to the system when a task ends, as Python workers live on."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(in_parts(batches))
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped

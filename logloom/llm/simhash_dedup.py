@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .runtime import saved
+from .runtime import saved, tidy
 from .textnum import texts
 
 RADIUS = 3
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", width
             made = b"".join([shingle_bits(x, width, seed) for x in texts(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(made, ">i8").astype(np.int64))], [key, "fp"])
 
-    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(tidy(run), f"{key} {rows.schema[key].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -140,7 +140,7 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """(a, b) pairs of fingerprints within the radius, from a table of distinct ``fp``; enough for all components."""
     rows = distinct.select(F.explode(variants(F.col("fp"))).alias("key"), "fp")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(met, "a long, b long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(met), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 3, seed: int = 42) -> DataFrame:

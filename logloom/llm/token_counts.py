@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .runtime import tidy
 from .textnum import Memo, char_chunks, code_points, distinct, prefix_hash, runs, span_hash, texts
 
 SPACE = "▁"
@@ -103,4 +104,4 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, text: str = "text
             sizes = np.array([len(x.encode()) for x in got], np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], [*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, saved
+from .runtime import discard, saved, tidy
 from .textnum import char_chunks, distinct, mix, prefix_hash, runs, span_hash, texts, utf8_bytes
 
 PER_CLASS = 6000
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < F.when(F.col("y") == 1, int(PER_CLASS / sizes[1] * (1 << 30)) + 1).otherwise(int(PER_CLASS / sizes[0] * (1 << 30)) + 1)
     chosen = spark.createDataFrame(known.where(draw).select(key, "y").toArrow(), schema=known.select(key, "y").schema)  # bounded by PER_CLASS
     sample = saved(docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y", F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(2)).cast("int").alias("fold")), "toxicity-sample")
-    counts = sample.mapInArrow(count_batches, "key long, parent long, level long, t0 long, o0 long, t1 long, o1 long")
+    counts = sample.mapInArrow(tidy(count_batches), "key long, parent long, level long, t0 long, o0 long, t1 long, o1 long")
     counts = saved(counts.groupBy("key", "parent", "level").agg(*(F.sum(c).alias(c) for c in COUNTS)), "toxicity-counts")
     both = [(f"{c}_{w}", sum((F.col(f"{c}{f}") for f in w), F.lit(0))) for w in ("0", "1", "01") for c in "to"]
     levels = {r["level"]: r.asDict() for r in counts.groupBy("level").agg(*(x for name, c in both for x in (F.sum(c).alias(f"n{name}"), F.count_if(c > 0).alias(f"k{name}")))).collect()}
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             both = [h.sums(rows) for h in halves]
             yield pa.RecordBatch.from_arrays([pa.array(np.where(fold == 0, both[0][0], both[1][0])), pa.array(both[0][1]), pa.array(np.asarray(batch.column(1)).astype(np.int64))], ["total", "number", "y"])
 
-    got = sample.mapInArrow(check, "total double, number long, y long").toArrow()
+    got = sample.mapInArrow(tidy(check), "total double, number long, y long").toArrow()
     total, number, y = (np.asarray(got.column(i)) for i in range(3))
     taken = np.array([max((y == c).sum(), 1) for c in (0, 1)])
     beta = logistic(features(total, number), y, np.array([sizes[0], sizes[1]])[y] / taken[y] / (sizes[0] + sizes[1]) * len(y)) if len(set(y.tolist())) == 2 else np.array([0, 0, 0, 0.0])
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(shared.value.score(texts(batch.column(at))))], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
