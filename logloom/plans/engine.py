@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -17,7 +18,8 @@ from ..session import ship
 from ..sources import files
 from .store import Store
 
-GRAPH = ("topics", "topic_edges", "msg_edges", "term_df")
+#: Versions of the derived tables' contents.
+TERMS_SCHEMA, EDGES_SCHEMA = "1", "6"
 
 
 @dataclass
@@ -39,9 +41,13 @@ class Engine:
 
     # Writes.
 
-    def ingest(self, parsed: DataFrame) -> list[dict]:
+    def ingest(self, parsed: DataFrame, load: Callable[[list[str]], DataFrame] | None = None) -> list[dict]:
         """Takes parsed sessions in: private ones are purged and remembered, names follow aliases, and each session is
-        new, same, appended to, or rewritten. Returns the action on each session."""
+        new, same, appended to, or rewritten. Returns the action on each session.
+
+        Copies of a session that is about to be rewritten come back first: ``load`` parses files by their paths. If it
+        fails, nothing is written.
+        """
         good = parsed.where("error is null") if "error" in parsed.columns else parsed
         heads = projects.apply_aliases(files.sessions(good) if "error" in parsed.columns else good.select(*[c for c in good.columns if c != "messages"]), self.aliases())
         rows = good.select("session_id", F.explode("messages").alias("m")).join(heads.select("session_id", "source", "project"), "session_id").select("session_id", "m.seq", "source", "project", "m.role", "m.text", "m.created_at")
@@ -59,6 +65,14 @@ class Engine:
         stored = self.table("messages")
         kept, actions = reconcile.sync_messages(stored.select("session_id", "seq", "source", "project", "role", "text", "created_at"), rows)
         todo = {r["session_id"]: r["action"] for r in actions.collect()}
+        owners = [s for s, a in todo.items() if a == "rewrite"]
+        back = self._copies_of(owners) if owners and load else {}
+        if back:
+            restored = load(sorted(back.values())).where(F.col("session_id").isin(*back))
+            self.store.commit({"session_copies": self.table("session_copies").withColumn("duplicate_of", F.when(F.col("session_id").isin(*back), "").otherwise(F.col("duplicate_of")))})
+            self.ingest(restored)
+            stored = self.table("messages")
+            kept, actions = reconcile.sync_messages(stored.select("session_id", "seq", "source", "project", "role", "text", "created_at"), rows)
         changed = [s for s, a in todo.items() if a != "same"]
         if changed:
             known = stored.select("session_id", "seq", "text", "indexed", "embedding").withColumnRenamed("text", "old")
@@ -82,8 +96,13 @@ class Engine:
             self.store.commit(out)
         return [{"session_id": s, "action": a} for s, a in sorted(todo.items())]
 
+    def _copies_of(self, owners: list[str]) -> dict[str, str]:
+        """Suppressed copies of some sessions, and the files they came from."""
+        found = self.table("session_copies").where(F.col("duplicate_of").isin(*owners)).join(self.table("sessions").select("session_id", "path"), "session_id")
+        return {r["session_id"]: r["path"] for r in found.collect()}
+
     def ingest_files(self, paths: list[str], folders: dict | None = None) -> list[dict]:
-        return self.ingest(files.parse_files(self.spark, paths, folders))
+        return self.ingest(files.parse_files(self.spark, paths, folders), lambda more: files.parse_files(self.spark, more, folders))
 
     def _graph_without(self, session_ids: list[str]) -> dict[str, DataFrame]:
         """The graph's tables without what some sessions gave them."""
@@ -315,5 +334,52 @@ class Engine:
         owner = self.table("session_copies").where((F.col("session_id") == session_id) & (F.col("duplicate_of") != "")).select("duplicate_of").first()
         return sessions.window(self.table("messages"), owner[0] if owner else session_id, first, last, keep, with_context)
 
+    def session(self, session_id: str) -> dict | None:
+        row = self.table("sessions").where(F.col("session_id") == session_id).first()
+        return row.asDict() if row else None
+
+    def last_message(self, session_id: str) -> dict | None:
+        row = self.table("messages").where(F.col("session_id") == session_id).orderBy(F.desc("seq")).limit(1).first()
+        return row.asDict() if row else None
+
+    def counts(self) -> dict[str, int]:
+        return {name: self.table(name).count() for name in ("sessions", "messages")}
+
+    def show(self, reference: str, context: int | None = None, around: int | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+        """Messages of a session: the first twenty, those round one of them, or a range."""
+        low, high = (max(0, around - (context or 0)), around + (context or 0)) if around is not None else (first or 0, last if last is not None else (first or 0) + 19)
+        return self.window(self.resolve_session(reference), low, high, -1 if around is None else around)
+
+    def backfill_sessions(self) -> None:
+        """Placeholders and update times for sessions of older versions."""
+        newest = self.table("messages").groupBy("session_id").agg(F.max("created_at").alias("newest"))
+        rows = self.table("sessions").join(newest, "session_id", "left")
+        unknown = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) == "", "Unknown").otherwise(F.col(c)).alias(c)
+        out = rows.select("session_id", "source", "project", "started_at", "path", unknown("model"), unknown("effort"), F.coalesce("updated_at", "newest").alias("updated_at"))
+        self.store.commit({"sessions": out})
+
+    def ensure_schemas(self) -> list[str]:
+        """Rebuilds derived tables that an older version made; returns which."""
+        now = {r["key"]: r["value"] for r in self.table("meta").collect()}
+        done = []
+        if now.get("terms_schema") != TERMS_SCHEMA:
+            self.store.commit({"postings": postings.build_postings(self.table("messages"), self.stemmer), "meta": self._meta(terms_schema=TERMS_SCHEMA)})
+            done.append("postings")
+        if now.get("edges_schema") != EDGES_SCHEMA:
+            self.index_full()
+            self.set_meta(edges_schema=EDGES_SCHEMA)
+            done.append("graph")
+        return done
+
+    def relocate(self, target: str, probe: str = "") -> dict[str, int]:
+        """A verified copy of the store in another folder, which must answer a search before it counts."""
+        done = self.store.repack(target)
+        copy = Engine(self.spark, target, self.stemmer, create=False)
+        if copy.counts() != self.counts():
+            raise OSError("the copy has other rows than the store")
+        if probe and [r[:2] for r in copy.search(probe).collect()] != [r[:2] for r in self.search(probe).collect()]:
+            raise OSError("the copy gives other results than the store")
+        return done
+
     def repack(self, target: str | None = None) -> dict[str, int]:
         return self.store.repack(target)

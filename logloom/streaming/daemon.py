@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
+import shutil
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
@@ -15,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
 from ..schemas import CHECKPOINTS
-from ..sources import files, formats, snapshots
+from ..sources import files, formats, git, snapshots
 from ..sources.records import Conversation, UnexpectedFormat
 
 PARSER_VERSION = 1
@@ -65,7 +67,10 @@ class Daemon:
                 if kind in snapshots.READERS:
                     key = f"snapshot_mark:{path}"
                     since = int(next((r[0] for r in self.engine.table("meta").where(F.col("key") == key).select("value").collect()), 0))
-                    if files.store_state(path)[1] == known.get(path, {}).get("mtime_ns"):
+                    before = known.get(path) or {}
+                    if before.get("parser_version") != PARSER_VERSION:
+                        since = 0  # another parser reads everything again
+                    elif files.store_state(path) == (before["size"], before["mtime_ns"]):
                         continue
                     got = snapshots.READERS[kind](path, since)
                     whole += [(c, kind) for c in got]
@@ -90,6 +95,7 @@ class Daemon:
                 errors.append({"path": path, "error": str(e)})
         actions = self._take(whole, grown)
         changed = [a for a in actions if a["action"] != "same"]
+        self._identify({c.row()["project"] for c, _ in whole})
         self.engine.prepare_copies()
         suppressed = self.engine.suppress_copies() if changed else []
         index = self.engine.index_new(self.min_df)
@@ -103,6 +109,13 @@ class Daemon:
         self._tell(status)
         return status
 
+    def _identify(self, names: set[str]) -> None:
+        """Remembers the repositories of projects that are folders here."""
+        known = {r["project"] for r in self.engine.table("project_identities").select("project").collect()}
+        for name in sorted(n for n in names if n.startswith("/") and n not in known):
+            if found := git.identity(name):
+                self.engine.save_identity(name, **found)
+
     def _grown(self, path: str, kind: str, before: dict, folders: dict, copies: set[str]) -> Conversation | None:
         if kind not in formats.APPENDABLE or before["session_id"] in copies or not files.has_grown(path, before):
             return None
@@ -127,7 +140,7 @@ class Daemon:
             more = rows_of(spark, added).join(old, "session_id", "left").withColumn("messages", F.concat(F.coalesce("old", F.array().cast("array<struct<seq:int,role:string,text:string,created_at:timestamp>>")), "messages")).drop("old")
             rows = more if rows is None else rows.unionByName(more)
         if rows is not None:
-            out = self.engine.ingest(rows)
+            out = self.engine.ingest(rows, lambda paths: files.parse_files(spark, paths))
         return out
 
     def _tell(self, status: dict) -> None:
@@ -138,8 +151,25 @@ class Daemon:
             fresh = folder / ".status.json.new"
             fresh.write_text(json.dumps(status))
             os.replace(fresh, folder / "status.json")
-            with (folder / f"sync-{status['at'][:7]}.jsonl").open("a") as f:
+            month = status["at"][:7]
+            with (folder / f"sync-{month}.jsonl").open("a") as f:
                 f.write(json.dumps(status) + "\n")
+            self.rotate(folder, month)
+
+    @staticmethod
+    def rotate(folder: Path, month: str, keep: int = 3) -> None:
+        """Packs the logs of months that are over, and deletes those more than ``keep`` months old."""
+        for old in folder.glob("sync-*.jsonl"):
+            if old.stem.removeprefix("sync-") < month:
+                with old.open("rb") as source, gzip.open(f"{old}.gz", "wb") as target:
+                    shutil.copyfileobj(source, target)
+                old.unlink()
+        year, number = map(int, month.split("-"))
+        first = year * 12 + number - 1 - keep
+        for packed in folder.glob("sync-*.jsonl.gz"):
+            y, n = map(int, packed.name[5:12].split("-"))
+            if y * 12 + n - 1 < first:
+                packed.unlink()
 
     def run(self, every: float = 300, stop: Callable[[], bool] = lambda: False) -> None:
         while not stop():

@@ -192,3 +192,50 @@ def test_daemon(spark, tmp_path):
 
 def test_named_sessions():
     assert sessions.references("see abcdef12 and plainwords or ABCDEF12") == ["abcdef12"]
+
+
+def test_copies_come_back_before_their_owner_is_rewritten(spark, engine):
+    body = [("user", "q" * 200), ("assistant", "a" * 200), ("user", "r" * 200)]
+    copy = ("short", "y", "/p", body)
+    engine.ingest(parsed(spark, ("long", "x", "/p", [*body, ("assistant", "more")]), copy))
+    assert engine.suppress_copies() == [{"session_id": "short", "duplicate_of": "long"}]
+    assert engine.resolve_session("short") == "long"
+    engine.ingest(parsed(spark, ("long", "x", "/p", [("user", "all new")])), load=lambda paths: parsed(spark, copy))
+    assert engine.table("messages").where("session_id = 'short'").count() == 3 and engine.resolve_session("short") == "short"
+
+
+def test_point_reads_and_maintenance(spark, engine, tmp_path):
+    engine.ingest(parsed(spark, *TALK[:2]))
+    assert engine.session("s0")["project"] == "/p" and engine.session("none") is None
+    assert engine.last_message("s0")["seq"] == 1 and engine.counts() == {"sessions": 2, "messages": 4}
+    assert engine.ensure_schemas() == ["postings", "graph"] and engine.ensure_schemas() == []
+    engine.backfill_sessions()
+    assert [r.seq for r in engine.show("s0", around=1, context=1).collect()] == [0, 1]
+    assert engine.relocate(str(tmp_path / "moved"), "turbine")["messages"] == 4
+
+
+def test_registered_functions(spark):
+    from logloom.functions.register import register
+
+    register(spark)
+    row = spark.sql("select porter_stem('enemies') a, clean_path('/x//y/') b, snippet('a turbine hums', array('turbin'), 40) c, size(embed_text('turbine hums')) d").first()
+    assert tuple(row) == ("enemi", "/x/y", "a turbine hums", 384)
+    assert [r.term for r in spark.sql("select * from explode_terms('the turbine, the gearbox and the turbine')").collect()] == ["turbine", "gearbox"]
+
+
+def test_log_rotation(tmp_path):
+    for month in ("2026-01", "2026-06", "2026-09", "2026-10"):
+        (tmp_path / f"sync-{month}.jsonl").write_text("{}\n")
+    Daemon.rotate(tmp_path, "2026-10")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["sync-2026-09.jsonl.gz", "sync-2026-10.jsonl"]
+
+
+def test_git_identity(tmp_path):
+    import subprocess
+
+    from logloom.sources import git
+
+    assert git.identity(str(tmp_path / "none")) is None
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "config", "remote.origin.url", "git@github.com:me/repo.git"], check=True)
+    assert git.identity(str(tmp_path))["remote_url"] == "github.com/me/repo"
