@@ -58,14 +58,19 @@ def classify_sessions(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return rows.select("session_id", action.alias("action"))
 
 
+def rows_to_add(stored: DataFrame, batch: DataFrame, actions: DataFrame) -> DataFrame:
+    """The batch's rows that a store lacks: all of rewritten sessions, and of others those that are new."""
+    placed = batch.join(actions, "session_id")
+    again = placed.where("action = 'rewrite'").drop("action")
+    more = placed.where("action in ('new', 'append')").drop("action").join(stored.select(*KEY), KEY, "left_anti")
+    return first_of_each(again.unionByName(more), KEY, ["role", "text"])
+
+
 def sync_messages(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All messages after the batch, and the action on each of its sessions."""
-    actions = classify_sessions(stored, batch)
-    gone = actions.where("action = 'rewrite'").select("session_id")
-    kept = stored.join(gone, "session_id", "left_anti")
-    live = batch.join(actions.where("action <> 'same'").select("session_id"), "session_id", "left_semi")
-    added = insert_messages(kept, live)
-    return kept.unionByName(added, allowMissingColumns=True), actions
+    actions = classify_sessions(stored.join(batch.select("session_id").distinct(), "session_id", "left_semi"), batch)
+    kept = stored.join(actions.where("action = 'rewrite'").select("session_id"), "session_id", "left_anti")
+    return kept.unionByName(rows_to_add(stored, batch, actions), allowMissingColumns=True), actions
 
 
 def fingerprint(table: DataFrame) -> DataFrame:

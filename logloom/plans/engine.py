@@ -57,45 +57,45 @@ class Engine:
         if new_marks:
             now = datetime.now(UTC)
             more = self.spark.createDataFrame([(r[0], r[1], r[2], now) for r in new_marks], marks.schema)
-            self.store.commit({"no_ingest": marks.unionByName(more)}, drop_old=False)
+            self.store.commit({}, {"no_ingest": more})
             for r in new_marks:
                 self.purge(r["session_id"])
         blocked = self.table("no_ingest").select("session_id")
         heads, rows = copies.without(heads, blocked), copies.without(rows, blocked)
-        stored = self.table("messages")
-        kept, actions = reconcile.sync_messages(stored.select("session_id", "seq", "source", "project", "role", "text", "created_at"), rows)
-        todo = {r["session_id"]: r["action"] for r in actions.collect()}
-        owners = [s for s, a in todo.items() if a == "rewrite"]
-        back = self._copies_of(owners) if owners and load else {}
+        stored, actions, todo = self._compare(rows)
+        back = self._copies_of([s for s, a in todo.items() if a == "rewrite"]) if load else {}
         if back:
             restored = load(sorted(back.values())).where(F.col("session_id").isin(*back))
-            self.store.commit({"session_copies": self.table("session_copies").withColumn("duplicate_of", F.when(F.col("session_id").isin(*back), "").otherwise(F.col("duplicate_of")))})
+            free = F.when(F.col("session_id").isin(*back), "").otherwise(F.col("duplicate_of"))
+            self.store.commit({"session_copies": self.table("session_copies").withColumn("duplicate_of", free)})
             self.ingest(restored)
-            stored = self.table("messages")
-            kept, actions = reconcile.sync_messages(stored.select("session_id", "seq", "source", "project", "role", "text", "created_at"), rows)
+            stored, actions, todo = self._compare(rows)
         changed = [s for s, a in todo.items() if a != "same"]
         if changed:
-            known = stored.select("session_id", "seq", "text", "indexed", "embedding").withColumnRenamed("text", "old")
-            joined = kept.join(known, ["session_id", "seq"], "left")
-            same = F.col("old").eqNullSafe(F.col("text"))
-            embedded = F.when(same, F.col("embedding")).otherwise(vectors.embed_words(text.content_words(F.col("text"))))
             rewritten = [s for s in changed if todo[s] == "rewrite"]
-            full = joined.withColumn("indexed", F.when(same & ~F.col("session_id").isin(*rewritten), F.col("indexed")).otherwise(0)).withColumn("embedding", embedded)
-            told = reconcile.upsert_sessions(self.table("sessions"), heads)
+            fresh = reconcile.rows_to_add(stored, rows, actions).withColumn("embedding", vectors.embed_words(text.content_words(F.col("text"))))
+            more = {"messages": fresh, "postings": postings.build_postings(fresh, self.stemmer)}
+            out = self._graph_without(rewritten) if rewritten else {}
+            if rewritten:  # only then are the large tables written anew
+                for name in list(more):
+                    out[name] = self.table(name).where(~F.col("session_id").isin(*rewritten)).select(*more[name].columns).unionByName(more.pop(name))
             at = heads.where(F.col("session_id").isin(*changed)).select("session_id", F.col("updated_at").alias("at"))
-            old = self.table("postings").where(~F.col("session_id").isin(*changed))
-            fresh = postings.build_postings(full.where(F.col("session_id").isin(*changed)), self.stemmer)
-            out = {"messages": full, "sessions": reconcile.set_updated(told, at), "postings": old.unionByName(fresh)}
-            ids = copies.identities(kept.where(F.col("session_id").isin(*changed)))
+            out["sessions"] = reconcile.set_updated(reconcile.upsert_sessions(self.table("sessions"), heads), at)
+            whole = stored.where(F.col("session_id").isin(*[s for s in changed if s not in rewritten])).select("session_id", "seq", "role", "text")
+            ids = copies.identities(whole.unionByName(fresh.select("session_id", "seq", "role", "text")))
             was = self.table("session_copies")
             seen = was.select("session_id", F.col("seen_at").alias("was"))
             ids = ids.join(seen, "session_id", "left").select("session_id", "hashes", "eligible", "imported", F.lit("").alias("duplicate_of"), F.coalesce("was", F.current_timestamp()).alias("seen_at"))
             out["session_copies"] = was.where(~F.col("session_id").isin(*changed)).unionByName(ids)
-            if rewritten:
-                out |= self._graph_without(rewritten)
-            self.store.commit(out)
+            self.store.commit(out, more)
         return [{"session_id": s, "action": a} for s, a in sorted(todo.items())]
 
+    def _compare(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+        """What is stored of a batch's sessions, and the action on each of them."""
+        stored = self.table("messages").join(rows.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "seq", "source", "project", "role", "text", "created_at")
+        actions = reconcile.classify_sessions(stored, rows)
+        return stored, actions, {r["session_id"]: r["action"] for r in actions.collect()}
+
     def _copies_of(self, owners: list[str]) -> dict[str, str]:
         """Suppressed copies of some sessions, and the files they came from."""
         found = self.table("session_copies").where(F.col("duplicate_of").isin(*owners)).join(self.table("sessions").select("session_id", "path"), "session_id")
@@ -107,10 +107,12 @@ class Engine:
     def _graph_without(self, session_ids: list[str]) -> dict[str, DataFrame]:
         """The graph's tables without what some sessions gave them."""
         log = graph.undo(self.table("msg_edges"), session_ids)
-        gone = self.table("messages").where(F.col("session_id").isin(*session_ids) & (F.col("indexed") == 1))
+        mine = F.col("session_id").isin(*session_ids)
+        indexed = self.table("indexed")
+        gone = self.table("messages").where(mine).join(indexed.where(mine), ["session_id", "seq"], "left_semi")
         less = graph.project_df(graph.message_terms(gone, self.stemmer, typed=False)).withColumn("msgs", -F.col("msgs"))
         df = self.table("term_df").unionByName(less).groupBy("project", "term").agg(F.sum("msgs").alias("msgs")).where("msgs > 0")
-        return {"msg_edges": log, "topic_edges": graph.topic_edges(log), "term_df": df}
+        return {"msg_edges": log, "topic_edges": graph.topic_edges(log), "term_df": df, "indexed": indexed.where(~mine)}
 
     def purge(self, session_id: str) -> None:
         """Takes a session out of every table."""
@@ -130,7 +132,7 @@ class Engine:
         terms = graph.message_terms(rows, self.stemmer)
         log = graph.message_edges(rows, min_df, self.stemmer, terms=terms)
         edges = graph.topic_edges(log)
-        out = {"msg_edges": log, "topic_edges": edges, "topics": graph.topics(edges, graph.labels(terms)), "term_df": graph.project_df(terms), "messages": rows.withColumn("indexed", F.lit(1)), "meta": self._meta(graph_dirty="")}
+        out = {"msg_edges": log, "topic_edges": edges, "topics": graph.topics(edges, graph.labels(terms)), "term_df": graph.project_df(terms), "indexed": rows.select("session_id", "seq"), "meta": self._meta(graph_dirty="")}
         n = rows.count()
         self.store.commit(out)
         return {"messages": n, "pairs": self.table("msg_edges").where("kind = ''").count()}
@@ -141,7 +143,7 @@ class Engine:
         if meta.get("graph_dirty"):
             return {"messages": self.index_full(min_df)["messages"], "pairs": 0}
         rows = self.table("messages")
-        fresh = rows.where("indexed = 0")
+        fresh = rows.join(self.table("indexed"), ["session_id", "seq"], "left_anti")
         n = fresh.count()
         if not n:
             return {"messages": 0, "pairs": 0}
@@ -151,12 +153,11 @@ class Engine:
         top = graph.top_terms(terms, df, graph.hub_caps(rows, min_df), min_df)  # totals count all messages
         both = graph.message_pairs(top).select("session_id", "seq", "project", "term_a", "term_b", *(F.lit("").alias(c) for c in ("kind", "from_term", "to_term")), F.lit(None).cast("string").alias("evidence"))
         added = both.unionByName(said)
-        log = self.table("msg_edges").unionByName(added)
         edges = graph.merge_weights(self.table("topic_edges"), graph.topic_edges(added))
         known = self.table("topics")
         more = graph.topics(edges, graph.labels(terms)).join(known.select("topic_id"), "topic_id", "left_anti")
         n_pairs = both.count()
-        self.store.commit({"msg_edges": log, "topic_edges": edges, "topics": known.unionByName(more), "term_df": df, "messages": rows.withColumn("indexed", F.lit(1))})
+        self.store.commit({"topic_edges": edges, "term_df": df}, {"msg_edges": added, "topics": more, "indexed": fresh.select("session_id", "seq")})
         return {"messages": n, "pairs": n_pairs}
 
     def _meta(self, **values: str) -> DataFrame:

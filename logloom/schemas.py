@@ -15,7 +15,8 @@ def table(*fields: tuple) -> StructType:
 
 
 SESSIONS = table(("session_id", S), ("source", S), ("project", S), ("started_at", T), ("path", S), ("model", S), ("effort", S), ("updated_at", T))
-MESSAGES = table(("session_id", S), ("seq", I), ("source", S), ("project", S), ("role", S), ("text", S), ("created_at", T), ("indexed", I), ("embedding", ArrayType(FloatType())))
+MESSAGES = table(("session_id", S), ("seq", I), ("source", S), ("project", S), ("role", S), ("text", S), ("created_at", T), ("embedding", ArrayType(FloatType())))
+INDEXED = table(("session_id", S), ("seq", I))
 POSTINGS = table(("term", S), ("session_id", S), ("seq", I), ("tf", L), ("dl", L), ("project", S), ("source", S), ("context", B))
 TERM_DF = table(("project", S), ("term", S), ("msgs", L))
 TOPICS = table(("topic_id", S), ("project", S), ("term", S), ("label", S))
@@ -29,7 +30,7 @@ IDENTITIES = table(("project", S), ("repo_root", S), ("remote_url", S), ("common
 META = table(("key", S), ("value", S))
 
 TABLES = {
-    "sessions": SESSIONS, "messages": MESSAGES, "postings": POSTINGS, "term_df": TERM_DF, "topics": TOPICS, "topic_edges": TOPIC_EDGES,
+    "sessions": SESSIONS, "messages": MESSAGES, "indexed": INDEXED, "postings": POSTINGS, "term_df": TERM_DF, "topics": TOPICS, "topic_edges": TOPIC_EDGES,
     "msg_edges": MSG_EDGES, "file_checkpoints": CHECKPOINTS, "session_copies": COPIES, "no_ingest": NO_INGEST,
     "project_aliases": ALIASES, "project_identities": IDENTITIES, "meta": META,
 }

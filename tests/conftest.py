@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     from logloom.session import session
 
     made = session(
-        "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
+        "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g",
                        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.checkpoint.dir": tmp_path_factory.mktemp("checkpoints").as_uri()})
     made.sparkContext.setLogLevel("ERROR")
     yield made
