@@ -41,84 +41,89 @@ class Engine:
 
     # Writes.
 
-    def ingest(self, parsed: DataFrame, load: Callable[[list[str]], DataFrame] | None = None) -> list[dict]:
+    def ingest(self, parsed: DataFrame, load: Callable[[list[str]], DataFrame] | None = None) -> dict[str, int]:
         """Takes parsed sessions in: private ones are purged and remembered, names follow aliases, and each session is
-        new, same, appended to, or rewritten. Returns the action on each session.
+        new, same, appended to, or rewritten. Returns how many sessions are which.
 
         Copies of a session that is about to be rewritten come back first: ``load`` parses files by their paths. If it
-        fails, nothing is written.
+        fails, nothing is written. Which session is which stays a table, so a batch may be of any size.
         """
         good = parsed.where("error is null") if "error" in parsed.columns else parsed
-        heads = projects.apply_aliases(files.sessions(good) if "error" in parsed.columns else good.select(*[c for c in good.columns if c != "messages"]), self.aliases())
-        rows = good.select("session_id", F.explode("messages").alias("m")).join(heads.select("session_id", "source", "project"), "session_id").select("session_id", "m.seq", "source", "project", "m.role", "m.text", "m.created_at")
-        tagged = copies.exclusion_tags(rows).join(heads.select("session_id", "path"), "session_id")
-        marks = self.table("no_ingest")
-        new_marks = tagged.join(marks.select("session_id"), "session_id", "left_anti").select("session_id", "path", "tag").collect()
-        if new_marks:
-            now = datetime.now(UTC)
-            more = self.spark.createDataFrame([(r[0], r[1], r[2], now) for r in new_marks], marks.schema)
-            self.store.commit({}, {"no_ingest": more})
-            for r in new_marks:
-                self.purge(r["session_id"])
+        good = self.store.scratch(projects.apply_aliases(good, self.aliases()))
+        heads = good.drop("messages", "kind", "error")
+        rows = good.select("session_id", "source", "project", F.explode("messages").alias("m")).select("session_id", "m.seq", "source", "project", "m.role", "m.text", "m.created_at")
+        known = self.table("no_ingest").select("session_id")
+        tagged = self.store.scratch(copies.without(copies.exclusion_tags(rows), known).join(heads.select("session_id", "path"), "session_id").select("session_id", "path", "tag", F.current_timestamp().alias("marked_at")))
+        if not tagged.isEmpty():
+            self.store.commit({}, {"no_ingest": tagged})
+            self.purge(tagged.select("session_id"))
         blocked = self.table("no_ingest").select("session_id")
         heads, rows = copies.without(heads, blocked), copies.without(rows, blocked)
-        stored, actions, todo = self._compare(rows)
-        back = self._copies_of([s for s, a in todo.items() if a == "rewrite"]) if load else {}
-        if back:
-            restored = load(sorted(back.values())).where(F.col("session_id").isin(*back))
-            free = F.when(F.col("session_id").isin(*back), "").otherwise(F.col("duplicate_of"))
-            self.store.commit({"session_copies": self.table("session_copies").withColumn("duplicate_of", free)})
+        stored, actions = self._compare(rows)
+        again = actions.where("action = 'rewrite'").select("session_id")
+        back = self._copies_of(again) if load else None
+        if back is not None and not back.isEmpty():
+            paths = [r[0] for r in back.select("path").distinct().collect()]  # of a few copies whose owners changed
+            restored = load(paths).join(back.select("session_id"), "session_id", "left_semi")
+            free = self.table("session_copies").join(back.select("session_id", F.lit(True).alias("free")), "session_id", "left")
+            self.store.commit({"session_copies": free.withColumn("duplicate_of", F.when(F.col("free"), "").otherwise(F.col("duplicate_of"))).drop("free")})
             self.ingest(restored)
-            stored, actions, todo = self._compare(rows)
-        changed = [s for s, a in todo.items() if a != "same"]
-        if changed:
-            rewritten = [s for s in changed if todo[s] == "rewrite"]
+            stored, actions = self._compare(rows)
+            again = actions.where("action = 'rewrite'").select("session_id")
+        counts = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}
+        changed = actions.where("action <> 'same'").select("session_id")
+        if set(counts) - {"same"}:
             fresh = reconcile.rows_to_add(stored, rows, actions).withColumn("embedding", vectors.embed_words(text.content_words(F.col("text"))))
             more = {"messages": fresh, "postings": postings.build_postings(fresh, self.stemmer)}
-            out = self._graph_without(rewritten) if rewritten else {}
-            if rewritten:  # only then are the large tables written anew
+            out = {}
+            if counts.get("rewrite"):  # only then are the large tables written anew
+                out = self._graph_without(again)
                 for name in list(more):
-                    out[name] = self.table(name).where(~F.col("session_id").isin(*rewritten)).select(*more[name].columns).unionByName(more.pop(name))
-            at = heads.where(F.col("session_id").isin(*changed)).select("session_id", F.col("updated_at").alias("at"))
+                    out[name] = copies.without(self.table(name), again).select(*more[name].columns).unionByName(more.pop(name))
+            at = heads.join(changed, "session_id", "left_semi").select("session_id", F.col("updated_at").alias("at"))
             out["sessions"] = reconcile.set_updated(reconcile.upsert_sessions(self.table("sessions"), heads), at)
-            whole = stored.where(F.col("session_id").isin(*[s for s in changed if s not in rewritten])).select("session_id", "seq", "role", "text")
+            whole = copies.without(stored.join(changed, "session_id", "left_semi"), again).select("session_id", "seq", "role", "text")
             ids = copies.identities(whole.unionByName(fresh.select("session_id", "seq", "role", "text")))
             was = self.table("session_copies")
             seen = was.select("session_id", F.col("seen_at").alias("was"))
             ids = ids.join(seen, "session_id", "left").select("session_id", "hashes", "eligible", "imported", F.lit("").alias("duplicate_of"), F.coalesce("was", F.current_timestamp()).alias("seen_at"))
-            out["session_copies"] = was.where(~F.col("session_id").isin(*changed)).unionByName(ids)
+            out["session_copies"] = copies.without(was, changed).unionByName(ids)
             self.store.commit(out, more)
-        return [{"session_id": s, "action": a} for s, a in sorted(todo.items())]
+        return counts
 
-    def _compare(self, rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    def _compare(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """What is stored of a batch's sessions, and the action on each of them."""
         stored = self.table("messages").join(rows.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "seq", "source", "project", "role", "text", "created_at")
-        actions = reconcile.classify_sessions(stored, rows)
-        return stored, actions, {r["session_id"]: r["action"] for r in actions.collect()}
+        return stored, self.store.scratch(reconcile.classify_sessions(stored, rows))
 
-    def _copies_of(self, owners: list[str]) -> dict[str, str]:
+    def _copies_of(self, owners: DataFrame) -> DataFrame:
         """Suppressed copies of some sessions, and the files they came from."""
-        found = self.table("session_copies").where(F.col("duplicate_of").isin(*owners)).join(self.table("sessions").select("session_id", "path"), "session_id")
-        return {r["session_id"]: r["path"] for r in found.collect()}
+        owned = self.table("session_copies").where("duplicate_of <> ''").join(owners.withColumnRenamed("session_id", "duplicate_of"), "duplicate_of", "left_semi")
+        return self.store.scratch(owned.select("session_id").join(self.table("sessions").select("session_id", "path"), "session_id"))
 
-    def ingest_files(self, paths: list[str], folders: dict | None = None) -> list[dict]:
-        return self.ingest(files.parse_files(self.spark, paths, folders), lambda more: files.parse_files(self.spark, more, folders))
+    def ingest_files(self, paths: list[str], folders: dict | None = None) -> dict[str, int]:
+        done = self.ingest(files.parse_files(self.spark, paths, folders), lambda more: files.parse_files(self.spark, more, folders))
+        self.store.sweep()
+        return done
+
+    def _ids(self, *session_ids: str) -> DataFrame:
+        return self.spark.createDataFrame([(s,) for s in session_ids], "session_id string")
 
-    def _graph_without(self, session_ids: list[str]) -> dict[str, DataFrame]:
+    def _graph_without(self, ids: DataFrame) -> dict[str, DataFrame]:
         """The graph's tables without what some sessions gave them."""
-        log = graph.undo(self.table("msg_edges"), session_ids)
-        mine = F.col("session_id").isin(*session_ids)
+        log = copies.without(self.table("msg_edges"), ids)
         indexed = self.table("indexed")
-        gone = self.table("messages").where(mine).join(indexed.where(mine), ["session_id", "seq"], "left_semi")
+        gone = self.table("messages").join(ids, "session_id", "left_semi").join(indexed, ["session_id", "seq"], "left_semi")
         less = graph.project_df(graph.message_terms(gone, self.stemmer, typed=False)).withColumn("msgs", -F.col("msgs"))
         df = self.table("term_df").unionByName(less).groupBy("project", "term").agg(F.sum("msgs").alias("msgs")).where("msgs > 0")
-        return {"msg_edges": log, "topic_edges": graph.topic_edges(log), "term_df": df, "indexed": indexed.where(~mine)}
+        return {"msg_edges": log, "topic_edges": graph.topic_edges(log), "term_df": df, "indexed": copies.without(indexed, ids)}
 
-    def purge(self, session_id: str) -> None:
-        """Takes a session out of every table."""
-        out = self._graph_without([session_id])
+    def purge(self, sessions: DataFrame | str) -> None:
+        """Takes sessions out of every table."""
+        ids = self._ids(sessions) if isinstance(sessions, str) else sessions
+        out = self._graph_without(ids)
         for name in ("messages", "sessions", "postings", "session_copies"):
-            out[name] = self.table(name).where(F.col("session_id") != session_id)
+            out[name] = copies.without(self.table(name), ids)
         self.store.commit(out)
 
     def mark_no_ingest(self, session_id: str, path: str = "", tag: str = "private") -> None:
@@ -173,19 +178,19 @@ class Engine:
         both = graph.directed(edges.withColumn("kind", kind))
         self.store.commit({"topic_edges": both, "topics": graph.topics(both, both.select("project", F.col("term_a").alias("term"), F.col("term_a").alias("label")).distinct())})
 
-    def suppress_copies(self) -> list[dict]:
+    def suppress_copies(self) -> int:
         """Takes sessions out that are the beginning of another source's session, and remembers their owners."""
         known = self.table("session_copies").join(self.table("sessions").select("session_id", "source", "project"), "session_id")
-        found = [r.asDict() for r in copies.suppress(known).collect()]
-        if found:
-            ids = [r["session_id"] for r in found]
-            pairs = self.spark.createDataFrame([(r["session_id"], r["duplicate_of"]) for r in found], "session_id string, owner string")
+        found = self.store.scratch(copies.suppress(known))
+        n = found.count()
+        if n:
+            ids = found.select("session_id")
             out = self._graph_without(ids)
             for name in ("messages", "postings"):
-                out[name] = self.table(name).where(~F.col("session_id").isin(*ids))
-            marked = self.table("session_copies").join(pairs, "session_id", "left").withColumn("duplicate_of", F.coalesce("owner", "duplicate_of")).drop("owner")
+                out[name] = copies.without(self.table(name), ids)
+            marked = self.table("session_copies").join(found.withColumnRenamed("duplicate_of", "owner"), "session_id", "left").withColumn("duplicate_of", F.coalesce("owner", "duplicate_of")).drop("owner")
             self.store.commit(out | {"session_copies": marked})
-        return found
+        return n
 
     def prepare_copies(self) -> int:
         """Identities of sessions that have none."""

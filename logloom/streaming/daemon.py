@@ -59,8 +59,6 @@ class Daemon:
         found = files.discover(self.roots, lambda p, e: errors.append({"path": p, "error": str(e)}))
         known = {r["path"]: r.asDict() for r in self.engine.table("file_checkpoints").collect()}
         folders = self.folders(found)
-        marks = {r["session_id"] for r in self.engine.table("no_ingest").select("session_id").collect()}
-        copies = {r["session_id"] for r in self.engine.table("session_copies").where("duplicate_of <> ''").select("session_id").collect()}
         whole, grown, points, meta = [], [], {}, {}
         for path, kind in found:
             try:
@@ -81,7 +79,7 @@ class Daemon:
                 now, before = files.checkpoint(path), known.get(path)
                 if before and (before["size"], before["mtime_ns"], before["parser_version"]) == (now["size"], now["mtime_ns"], PARSER_VERSION):
                     continue
-                c = self._grown(path, kind, before, folders, copies) if before and before["parser_version"] == PARSER_VERSION else None
+                c = self._grown(path, kind, before) if before and before["parser_version"] == PARSER_VERSION else None
                 if c is not None:
                     grown.append((c, kind))
                 else:
@@ -94,10 +92,10 @@ class Daemon:
             except (UnexpectedFormat, OSError) as e:
                 errors.append({"path": path, "error": str(e)})
         actions = self._take(whole, grown)
-        changed = [a for a in actions if a["action"] != "same"]
+        changed = sum(n for action, n in actions.items() if action != "same")
         self._identify({c.row()["project"] for c, _ in whole})
         self.engine.prepare_copies()
-        suppressed = self.engine.suppress_copies() if changed else []
+        suppressed = self.engine.suppress_copies() if changed else 0
         index = self.engine.index_new(self.min_df)
         if points:
             old = self.engine.table("file_checkpoints").where(~F.col("path").isin(*points))
@@ -105,7 +103,8 @@ class Daemon:
             self.engine.store.commit({"file_checkpoints": old.unionByName(new)})
         if meta:
             self.engine.set_meta(**meta)
-        status = {"at": datetime.now(UTC).isoformat(), "seconds": round(time.time() - began, 3), "files": len(found), "changed": len(changed), "suppressed": len(suppressed), "blocked": len(marks), "indexed": index, "errors": errors}
+        status = {"at": datetime.now(UTC).isoformat(), "seconds": round(time.time() - began, 3), "files": len(found), "changed": changed, "suppressed": suppressed, "blocked": self.engine.table("no_ingest").count(), "indexed": index, "errors": errors}
+        self.engine.store.sweep()
         self._tell(status)
         return status
 
@@ -116,10 +115,13 @@ class Daemon:
             if found := git.identity(name):
                 self.engine.save_identity(name, **found)
 
-    def _grown(self, path: str, kind: str, before: dict, folders: dict, copies: set[str]) -> Conversation | None:
-        if kind not in formats.APPENDABLE or before["session_id"] in copies or not files.has_grown(path, before):
+    def _grown(self, path: str, kind: str, before: dict) -> Conversation | None:
+        """What a file has gained, unless it must be read whole: a copy, whose messages are not stored, is."""
+        if kind not in formats.APPENDABLE or not files.has_grown(path, before):
             return None
         engine = self.engine
+        if not engine.table("session_copies").where((F.col("session_id") == before["session_id"]) & (F.col("duplicate_of") != "")).isEmpty():
+            return None
         last = engine.table("messages").where(F.col("session_id") == before["session_id"]).orderBy(F.desc("seq")).limit(1).collect()
         head = engine.table("sessions").where(F.col("session_id") == before["session_id"]).collect()
         if not last or not head:
@@ -129,9 +131,9 @@ class Daemon:
         c = Conversation(h["source"], path, h["session_id"], h["project"], h["model"], h["effort"], utc(h["started_at"]), last=(m["seq"], m["role"], m["text"], utc(m["created_at"])))
         return files.read_appended(path, before, c)
 
-    def _take(self, whole: list, grown: list) -> list[dict]:
+    def _take(self, whole: list, grown: list) -> dict[str, int]:
         """Whole conversations as they are, grown ones after what is stored of them."""
-        spark, out = self.engine.spark, []
+        spark, out = self.engine.spark, {}
         rows = rows_of(spark, whole) if whole else None
         added = [(c, k) for c, k in grown if c.messages]
         if added:
