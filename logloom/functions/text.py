@@ -112,7 +112,10 @@ def relations(text: str) -> list[tuple[str, str, str, str]]:
     """
     out = []
     for raw in re.split(r"[.!?;\n]", text):
-        tokens = _tokens(raw.lower())
+        low = raw.lower()
+        if not any(sign in low for sign in ("'", "replac", "supersed", "instead")):
+            continue  # no rule can apply
+        tokens = _tokens(low)
         said = raw.strip()
         said = said[:500] + "…" if len(said) > 500 else said
         for a, quote, s, b in zip(tokens, tokens[1:], tokens[2:], tokens[3:], strict=False):

@@ -40,6 +40,11 @@ def corpus_stats(messages: DataFrame, postings: DataFrame) -> DataFrame:
     return n.join(postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_words")), how="cross")  # one row each
 
 
+def text_stats(messages: DataFrame) -> DataFrame:
+    """The same from texts alone, without a posting list: stems are as many as words."""
+    return messages.agg(F.count("*").alias("n_messages"), F.coalesce(F.sum(F.size(index_words(F.col("text"))).cast("long")), F.lit(0)).alias("n_words"))
+
+
 def append_new(stored: DataFrame, messages: DataFrame, stemmer: str = "porter") -> DataFrame:
     """Postings of messages that have none yet."""
     return build_postings(messages.join(stored.select(*KEY).distinct(), KEY, "left_anti"), stemmer)

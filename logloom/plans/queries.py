@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def _corpus(spark: SparkSession, d: str, of: Callable = t.conversations) -> tuple[DataFrame, DataFrame, DataFrame]:
     messages = of(spark, d)
     post = postings.build_postings(messages, "identity")
-    return messages, post, postings.corpus_stats(messages, post)
+    return messages, post, postings.text_stats(messages)
 
 
 WITH = "with " + t.CONVERSATIONS
@@ -69,7 +70,8 @@ def doc_length(spark: SparkSession, d: str) -> DataFrame:
 
 @query("corpus_stats", POSTINGS + " select (select count(*) from conv) as n_messages, (select cast(sum(tf) as bigint) from post) as n_words")
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _corpus(spark, d)[2]
+    messages, post, _ = _corpus(spark, d)
+    return postings.corpus_stats(messages, post)
 
 
 @query("postings_append", "with " + t.CONVERSATIONS + ", old as (select * from conv where seq < 2), " + t.postings_sql("conv") + " select session_id, seq, term, tf from post anti join old using (session_id, seq)")
@@ -270,7 +272,7 @@ def _centre(edges: DataFrame) -> str:
 
 @query("related_depth1", TERMS_SQL + f" select term_b as term, cast(sum(weight) as bigint) as weight, 'co-mention' as kind from edges where term_a = {CENTRE} group by term_b order by weight desc, term limit 30")
 def related_depth1(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
+    edges = _edges(spark, d).persist(StorageLevel.MEMORY_AND_DISK)  # for the term in the middle, and what it leads to
     return graph.related(edges, _centre(edges), 1, 30).select("term", "weight", "kind")
 
 
@@ -280,7 +282,7 @@ far as (select term, w + w1 as weight, via from hop join via using (via) anti jo
 best as (select term, max(weight) as weight from far group by term), tied as (select f.term, f.weight, min(f.via) as via from far f join best b on f.term = b.term and f.weight = b.weight group by 1, 2)
 select term, cast(weight as bigint) as weight, via from (select term, weight, '' as via from one union all select * from tied) order by weight desc, term, via limit 60""")
 def related_depth2(spark: SparkSession, d: str) -> DataFrame:
-    edges = _edges(spark, d)
+    edges = _edges(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     return graph.related(edges, _centre(edges), 2, 60).select("term", "weight", "via")
 
 
@@ -290,7 +292,7 @@ select * from n order by links desc, lift desc, term limit 6""")
 def graph_expand(spark: SparkSession, d: str) -> DataFrame:
     docs, terms = _terms(spark, d)
     df = graph.project_df(terms)
-    edges = graph.topic_edges(graph.message_edges(docs, 2, df=df, terms=terms))
+    edges = graph.topic_edges(graph.message_edges(docs, 2, df=df, terms=terms)).persist(StorageLevel.MEMORY_AND_DISK)
     return graph.expand(edges, df, [_centre(edges)]).withColumn("lift", F.round("lift", 9))
 
 
