@@ -70,7 +70,8 @@ def sentences(text: Column) -> Column:
 def is_context(role: Column, text: Column) -> Column:
     """What the host put in, not what was said."""
     start = F.regexp_replace(text, r"^[ \p{Zs}]+", "")
-    return (role == "system") | ((role == "user") & (F.startswith(start, F.lit("<")) | F.startswith(start, F.lit("# AGENTS.md"))))
+    put_in = (role == "system") | ((role == "user") & (F.startswith(start, F.lit("<")) | F.startswith(start, F.lit("# AGENTS.md"))))
+    return F.coalesce(put_in, F.lit(False))  # a null role or text was said
 
 
 def is_prompt(role: Column, text: Column) -> Column:
