@@ -66,6 +66,23 @@ def chain(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tupl
     return [*out, (np.arange(len(starts)), mix(span_hash(prefix, starts, ends), 99))]
 
 
+def with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with two min-hashes of their text's shingles of five words (of all its words where it has fewer)."""
+    for batch in batches:
+        rows = texts(batch.column(0))
+        least = np.zeros((2, len(rows)), np.uint64)
+        for a, b in char_chunks(rows, CHUNK):
+            prefix, starts, ends, at = words(rows[a:b])
+            word = span_hash(prefix, starts, ends)
+            for i in range(a, b):
+                own = word[at[i - a] : at[i - a + 1]]
+                made = np.zeros(max(1, len(own) - 4), np.uint64)
+                for j in range(min(5, len(own))):
+                    made = made * np.uint64(0x9E3779B97F4A7C15) + own[j : j + len(made)]
+                least[:, i] = mix(made, 1).min(), mix(made, 2).min()
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.view(np.int64)) for x in least)], [*batch.schema.names, "a", "b"])
+
+
 COUNTS = ("t0", "o0", "t1", "o1")
 
 
@@ -203,7 +220,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return Model(Evidence(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.array([0, 0, 0, 30.0 if share else -30.0]))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < F.when(F.col("y") == 1, int(PER_CLASS / sizes[1] * (1 << 30)) + 1).otherwise(int(PER_CLASS / sizes[0] * (1 << 30)) + 1)
     chosen = spark.createDataFrame(known.where(draw).select(key, "y").toArrow(), schema=known.select(key, "y").schema)  # bounded by PER_CLASS
-    sample = saved(docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y", F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(2)).cast("int").alias("fold")), "toxicity-sample")
+    drawn = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y", F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(2)).cast("int").alias("fold"), F.xxhash64(F.col(key), F.lit(9)).alias("order"))
+    drawn = drawn.mapInArrow(tidy(with_sketch), f"{text} string, y int, fold int, order long, a long, b long")
+    for sketch in ("a", "b"):  # copies are not independent: of texts with a sketch in common one counts
+        drawn = drawn.groupBy(sketch).agg(F.min_by(F.struct(text, "y", "fold", "order", "a", "b"), F.struct("order", text)).alias("one")).select("one.*")
+    sample = saved(drawn.select(text, "y", "fold"), "toxicity-sample")
     counts = sample.mapInArrow(tidy(count_batches), "key long, parent long, level long, t0 long, o0 long, t1 long, o1 long")
     counts = saved(counts.groupBy("key", "parent", "level").agg(*(F.sum(c).alias(c) for c in COUNTS)), "toxicity-counts")
     both = [(f"{c}_{w}", sum((F.col(f"{c}{f}") for f in w), F.lit(0))) for w in ("0", "1", "01") for c in "to"]
