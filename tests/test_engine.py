@@ -240,3 +240,20 @@ def test_git_identity(tmp_path):
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     subprocess.run(["git", "-C", str(tmp_path), "config", "remote.origin.url", "git@github.com:me/repo.git"], check=True)
     assert git.identity(str(tmp_path))["remote_url"] == "github.com/me/repo"
+
+
+def test_daemon_as_a_stream(spark, tmp_path):
+    import time
+
+    engine = Engine(spark, str(tmp_path / "store"))
+    path = tmp_path / "home/.claude/projects/p/a.jsonl"
+    path.parent.mkdir(parents=True)
+    path.write_text(json.dumps({"type": "user", "sessionId": "s", "cwd": "/w", "message": {"content": "turbine one"}}) + "\n")
+    running = Daemon(engine, [str(tmp_path / "home")], str(tmp_path / "log")).stream("1 second", str(tmp_path / "points"))
+    try:
+        end = time.time() + 90
+        while not (tmp_path / "log/status.json").exists() and running.isActive and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert running.exception() is None and engine.counts() == {"sessions": 1, "messages": 1}
