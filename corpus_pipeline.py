@@ -23,9 +23,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents with linked fingerprints the one with the least doc_id."""
+    """Of each group of documents linked by a five-word similarity of 0.8 or more the one with the least doc_id."""
     ship(spark)
-    groups = simhash_dedup.near_duplicates(docs)
+    groups = simhash_dedup.near_copies(docs, width=5, similarity=0.8)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 

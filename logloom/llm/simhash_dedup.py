@@ -17,27 +17,40 @@ from pyspark.sql import functions as F
 
 from .components import Forest, components
 from .runtime import saved, tidy
-from .textnum import texts
+from .textnum import mix, texts
 
 RADIUS = 3
 #: Bits of each block: first bit, bits.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 SMALL = 2048
+#: Min-hashes of a text for near copies: bands of so many, with so many bands. A pair with similarity 0.8 has a band in
+#: common with probability 0.99997.
+BANDS, DEPTH = 20, 4
+#: Rows of a band's key that a row is compared with, and the likeliest of them that are verified.
+REACH, VERIFIED = 128, 8
 
 
-def shingle_bits(text: str, width: int, seed: int) -> bytes:
-    """The fingerprint's eight bytes, most significant first."""
+def shingle_digests(text: str, width: int, seed: int) -> np.ndarray:
+    """Digests of the text's shingles as rows of eight bytes; none without words."""
     from xxhash import xxh64_digest
 
     words = text.encode().lower().split()  # on bytes: A-Z only, and ASCII white space
     if not words:
-        return bytes(8)
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     k = min(width, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: len(words) - k].tolist()]
     stops = (ends[k - 1 :] - 1).tolist()
-    digests = np.frombuffer(b"".join([xxh64_digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=True)]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join([xxh64_digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=True)]), np.uint8).reshape(-1, 8)
+
+
+def shingle_bits(text: str, width: int, seed: int) -> bytes:
+    """The fingerprint's eight bytes, most significant first."""
+    return digest_bits(shingle_digests(text, width, seed))
+
+
+def digest_bits(digests: np.ndarray) -> bytes:
     n, counts = len(digests), np.zeros(64, np.int64)
     for i in range(0, n, 1 << 16):
         counts += np.unpackbits(digests[i : i + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
@@ -158,3 +171,116 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     joined = components(ends.where("a_rep is not null and b_rep is not null"), "a_rep", "b_rep")
     classes = first.join(joined, first["rep"] == joined["id"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(classes, "fp").select(F.col("id").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def min_hashes(digests: np.ndarray) -> np.ndarray:
+    """The min-hashes of one text's shingles; a text without shingles has the same as any other such."""
+    values = digests.view(">u8").astype(np.uint64).ravel()
+    factors = mix(np.arange(BANDS * DEPTH, dtype=np.uint64), 7)[:, None] | np.uint64(1)
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(values), 1024):
+        least = np.minimum(least, (values[None, i : i + 1024] * factors).min(axis=1))
+    return mix(least, 8)  # a least value's own bits are uneven
+
+
+def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be near copies, from rows (key, id, sketch) sorted by key and sketch: of the ``REACH`` rows before
+    one that have its key, the ``VERIFIED`` whose sketches agree most, if by 0.8 less four standard errors."""
+    least = int(BANDS * DEPTH * (0.8 - 4 * np.sqrt(0.16 / (BANDS * DEPTH))))
+    keys, ids, sketches = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * DEPTH), np.uint8)
+    for batch in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):  # a row has up to REACH pairs
+        old = len(keys)
+        keys = np.concatenate([keys, np.asarray(batch.column(0))])
+        ids = np.concatenate([ids, np.asarray(batch.column(1))])
+        sketches = np.concatenate([sketches, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, BANDS * DEPTH)])
+        rows, others, agree = [], [], []
+        for d in range(1, min(REACH, len(keys) - 1) + 1):
+            at = np.arange(max(old, d), len(keys))
+            at = at[keys[at] == keys[at - d]]
+            if not len(at):
+                break  # rows of a key are neighbours, so none are farther apart
+            same = (sketches[at] == sketches[at - d]).sum(axis=1)
+            good = same >= least
+            rows.append(at[good])
+            others.append(at[good] - d)
+            agree.append(same[good])
+        if rows:
+            row, other, same = (np.concatenate(v) for v in (rows, others, agree))
+            order = np.lexsort((-same, row))
+            row, other = row[order], other[order]
+            begins = np.flatnonzero(np.append(True, row[1:] != row[:-1]))[: len(row)]
+            rank = np.arange(len(row)) - np.repeat(begins, np.diff(np.append(begins, len(row))))
+            a, b = ids[row[rank < VERIFIED]], ids[other[rank < VERIFIED]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+        keys, ids, sketches = keys[-REACH:], ids[-REACH:], sketches[-REACH:]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of digests, given as sorted distinct values."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(key, component_id) for every row: the least key that pairs of texts with at least this Jaccard similarity of
+    shingles lead to, itself included.
+
+    At similarity 0.8 fingerprints differ in about ten of 64 bits, which no ball of practical size holds. So candidates
+    are fingerprints within the radius and texts with a band of min-hashes in common; both are verified on all shingles.
+    Equal words are one text. Texts without words are equal. Rows with null keys link with equal texts only; rows with
+    equal keys count as one document.
+    """
+    rows = docs.select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for batch in batches:
+            prints, sketches, bands, words = [], [], [], []
+            for x in texts(batch.column(1)):
+                digests = shingle_digests(x, width, seed)
+                least = min_hashes(digests)
+                prints.append(digest_bits(digests))
+                sketches.append((least & np.uint64(255)).astype(np.uint8).tobytes())
+                made = np.zeros(BANDS, np.uint64)
+                for column in least.reshape(BANDS, DEPTH).T:
+                    made = mix(made ^ column, 5)
+                bands.append(mix(made ^ np.arange(BANDS, dtype=np.uint64), 6).view(np.int64))
+                words.append(hashlib.md5(b" ".join(x.encode().lower().split())).digest())
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sketches, pa.binary()), keys, pa.array(words, pa.binary())], ["id", "fp", "sketch", "bands", "words"])
+
+    prints = saved(rows.mapInArrow(tidy(run), f"id {rows.schema[key].dataType.simpleString()}, fp long, sketch binary, bands array<long>, words binary"), "near-copy-sketches")
+    equal = saved(prints.groupBy("words").agg(F.min("id").alias("rep")), "distinct-texts")
+    named = equal.where("rep is not null").select("words", "rep")
+    once = prints.join(named, (prints["words"] == named["words"]) & (prints["id"] == named["rep"])).select("rep", "fp", "sketch", "bands").dropDuplicates(["rep"])
+    once = saved(once, "distinct-sketches")
+    first = saved(once.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
+    close = link_fingerprints(first)
+    for side in ("a", "b"):
+        close = close.join(first.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), side)
+    close = close.select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b"))
+    kept = once.join(first, "fp").where(once["rep"] != first["rep"]).select(once["rep"].alias("a"), first["rep"].alias("b"))
+    bands = once.select(F.explode("bands").alias("key"), F.col("rep").cast("long").alias("id"), "sketch")
+    meeting = bands.repartition("key").sortWithinPartitions("key", "sketch", "id").mapInArrow(tidy(alike), "a long, b long")
+    pairs = saved(close.unionByName(kept).unionByName(meeting).where("a <> b").distinct(), "near-copy-candidates")
+    asked = pairs.select(F.col("a").alias("id"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), "a", "b", F.lit(1).alias("side")))
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        for batch in batches:
+            out = []
+            for a, b, side, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(3)), strict=True):
+                shingles = np.unique(shingle_digests(x, width, seed).view(">u8").astype(np.uint64))
+                if side == 0:
+                    held = a, b, shingles
+                elif held and held[:2] == (a, b) and jaccard(held[2], shingles) >= similarity:
+                    out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    verified = source.join(asked, "id").select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
+    joined = components(verified, "a", "b")
+    classes = equal.join(joined, equal["rep"] == joined["id"], "left").select("words", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(classes, "words").select(F.col("id").alias(key), "component_id")

@@ -46,5 +46,29 @@ def test_copies_go_and_clean_documents_stay(spark, data):
     assert cut[5].n_chars == len(cut[5].text) and len(cut[5].text) == len(rows[4][1]) - len(passage)
 
 
+def test_near_copies_go_by_their_similarity(spark, data):
+    """Five-word Jaccard 0.8 and more goes, less stays."""
+    rng = random.Random(21)
+    rows, gone = [], set()
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for i in range(40):
+        base = rng.choices([f"k{j}" for j in range(3000)], k=200)
+        rows.append((10 * i, " ".join(base)))
+        for n in (1, 2, 4, 8):
+            words = list(base)
+            for at in rng.sample(range(200), n):
+                words[at] = "changed"
+            rows.append((10 * i + n, " ".join(words)))
+            a, b = shingles(base), shingles(words)
+            if len(a & b) / len(a | b) >= 0.8:
+                gone.add(10 * i + n)
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs, data).select("doc_id").collect()}
+    assert len(gone) > 80 and kept == {k for k, _ in rows} - gone
+
+
 def test_whole_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
