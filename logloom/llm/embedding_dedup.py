@@ -2,9 +2,7 @@
 
 Unit vectors are put on the coarse list of their nearest centre; residuals are coded in subspaces. A pair with cosine
 ``c`` or more lies within ``r = sqrt(2 - 2c)``. A vector probes every list whose bisecting plane towards its own list
-is no farther than ``SIGMAS * r / sqrt(width)``, that many standard deviations of a step of length ``r`` in a random
-direction (in few dimensions ``r`` itself, beyond which no neighbour can be). On a list, asymmetric distances come from lookup
-tables, and as each code's own error is stored, the triangle inequality says which rows may still be near. Those are
+is no farther than ``r``, beyond which no neighbour can be. On a list, asymmetric distances come from lookup tables, and as each code's own error is stored, the triangle inequality says which rows may still be near. Those are
 compared exactly, in double precision. Equal vectors of a label are one row with a number of copies.
 
 Lists are cut into chunks of at most about ``CHUNK`` rows, which are tasks' units of work, so a crowded list is shared
@@ -28,7 +26,6 @@ from .runtime import saved, tidy
 SAMPLE = 16_384
 CHUNK = 1024
 CODES = 64
-SIGMAS = 3.0
 
 
 @dataclass
@@ -162,7 +159,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
                     square = ((x**2).sum(axis=1)[:, None] + (index.centres**2).sum(axis=1)[None] - 2 * x @ index.centres.T)
                     own = np.argmin(square, axis=1)
                     gap = square - square[np.arange(len(x)), own][:, None]
-                    probe = gap <= 2 * apart[own] * radius * min(1.0, SIGMAS / np.sqrt(w)) + 1e-9
+                    probe = gap <= 2 * apart[own] * radius + 1e-9
                     probe[np.arange(len(x)), own] = True
                     q, c = np.nonzero(probe)
                     take += [part, part[q]]

@@ -189,6 +189,17 @@ def test_embedding_recall(spark, data):
     assert (got.n_links.values <= near.sum(axis=1)).all() and got.n_links.sum() >= 0.9 * near.sum()
 
 
+def test_embeddings_of_few_dimensions(spark):
+    """Neighbours differ along the axes that lists are cut by; every link counts at both ends."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 5)) @ rng.normal(size=(5, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93).sum(axis=1) - 1
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(table).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == near.tolist()
+
+
 def test_fingerprints(docs, texts):
     got = {r.doc_id: r for r in fingerprints.compare(docs, per_bucket=16).collect()}
     ordered = sorted(texts)
