@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
 from .runtime import tidy
 from .textnum import char_chunks, mix, span_hash, texts, utf8_bytes
 from .toxicity import words
 
 GRAM, WINDOW = 3, 4
 
-#: Notices and short texts of common licenses.
+#: Notices, per-file headers and whole texts of common licenses.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -35,30 +36,21 @@ MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVE
 BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
 OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
 compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless
 required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS"
 BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License.""",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
 Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
 later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
 implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details. You should have received a copy of the GNU General Public License along with this program. If not, see
 <https://www.gnu.org/licenses/>.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
-that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
-of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
-this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution.""",
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
-publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
-purpose, commercial or non-commercial, and by any means.""",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    **TEXTS,
 }
 
 
@@ -166,7 +158,10 @@ def find(t: Templates, word: np.ndarray, gram: np.ndarray, coverage: float) -> l
             if x[3] > end:
                 out.append(x)
                 end = x[4]
-    return out
+    spare = lambda x: x[4] + 1 - x[3] - x[1]  # words of the span that are not the license's
+    inside = lambda x, y: y[3] <= x[3] and x[4] <= y[4] and y[1] > x[1] and spare(y) < spare(x)
+    fuller = lambda x, y: y[3:] == x[3:] and y[1] >= x[1] and y[2] > x[2]
+    return [x for x in out if not any(inside(x, y) or fuller(x, y) for y in out)]
 
 
 def scan(docs: DataFrame, given: dict[str, str] | None = None, coverage: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -174,7 +169,8 @@ def scan(docs: DataFrame, given: dict[str, str] | None = None, coverage: float =
     the end exclusive).
 
     Words are runs of letters and digits, letter case aside; ``coverage`` is the least share of a template's words. A
-    notice that begins a longer text is reported beside it. Null and empty texts have none; repeated rows are scanned
+    notice that begins a longer text is reported beside it; a license whose words lie in a longer one's with more foreign
+    words between them than that has is not, nor one whose span another covers more fully. Null and empty texts have none; repeated rows are scanned
     each for itself; an empty table gives no rows.
     """
     from pyspark.sql.types import DoubleType, LongType, StringType, StructType

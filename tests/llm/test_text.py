@@ -88,3 +88,12 @@ def test_licenses(spark, data):
     found = license_scan.scan(spark.read.parquet(f"{data}/documents.parquet")).groupBy("license").count().collect()
     assert {r.license: r["count"] for r in found if r.license in notices} == {k: v for k, v in counts.items() if v}
     assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_texts_are_whole(spark):
+    """A prefix is no license, and a license is not another that begins like it."""
+    bodies = license_scan.TEMPLATES
+    two, three = bodies["BSD-2-Clause"], bodies["BSD-3-Clause"]
+    rows = [(1, three), (2, two), (3, two[: two.index("THIS SOFTWARE")]), (4, bodies["GPL-2.0"]), (5, bodies["Apache-2.0"]), (6, bodies["GPL-3.0"])]
+    got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "BSD-3-Clause"), (2, "BSD-2-Clause"), (4, "GPL-2.0"), (5, "Apache-2.0"), (6, "GPL-3.0")}
