@@ -1,5 +1,7 @@
+import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -102,6 +104,114 @@ def test_passages(spark):
     assert set(found[found.doc_id != 100].similarity) == {1.0}
 
 
+def passages_between(a, b, similarity=0.8):
+    x, y = substring_dedup.split([a, b])
+    return substring_dedup.common(x[0], x[1], y[0], y[1], 46, similarity)
+
+
+def likeness_of_words(a, b):
+    """Jaccard similarity of five-word shingles, repeats included."""
+    x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+    return (x & y).total() / (x | y).total()
+
+
+def test_passages_lie_on_one_diagonal():
+    rng = random.Random(17)
+    say = lambda n: rng.choices(WORDS, k=n)
+    unit, blocks = say(20), [say(60) for _ in range(4)]
+    turned = [blocks[i] for i in (1, 0, 3, 2)]
+    cases = [(["x"] * 400, ["x"] * 60), (unit * 10, unit * 3), (sum(blocks, []), sum(turned, [])), (say(24) * 6, say(30))]
+    found = []
+    for a, b in cases:
+        found.append(passages_between(" ".join(a), " ".join(b)))
+        for s, n, p, m, like in found[-1]:
+            assert 50 <= n <= 60 and like == 1.0 and a[s : s + n] == b[p : p + m]
+    assert {i for s, n, *_ in found[0] for i in range(s, s + n)} == set(range(400))
+    assert {i for s, n, *_ in found[1] for i in range(s, s + n)} == set(range(200))
+    assert [x[:4] for x in found[2]] == [(0, 60, 60, 60), (60, 60, 0, 60), (120, 60, 180, 60), (180, 60, 120, 60)]
+    sentence = say(24)
+    assert found[3] == [] == passages_between(" ".join(sentence * 6), " ".join(say(40) + sentence + say(40)))
+
+
+def test_edits_near_the_ends_of_a_passage():
+    rng = random.Random(18)
+    say = lambda n: rng.choices(WORDS, k=n)
+    for at in (1, 2, 3, 4, 25, 45, 46, 47, 48):
+        passage = say(50)
+        edited = [*passage[:at], "changed", *passage[at + 1 :]]
+        found = passages_between(" ".join(say(40) + passage + say(40)), " ".join(say(7) + edited + say(40)))
+        assert len(found) == (likeness_of_words(passage, edited) >= 0.8) and all(x[:4] == (40, 50, 7, 50) for x in found)
+
+
+def test_longest_runs_by_ranks():
+    rng = np.random.default_rng(3)
+    for size in (2, 3, 50):
+        x, y = rng.integers(1, size + 1, 90).astype(np.uint64), rng.integers(1, size + 1, 70).astype(np.uint64)
+        length, place = substring_dedup.Ranks(x, y).longest()
+        for i in range(len(x)):
+            runs = [next((k for k in range(len(x)) if i + k >= len(x) or p + k >= len(y) or x[i + k] != y[p + k])) for p in range(len(y))]
+            assert length[i] == max(runs) and (not length[i] or runs[place[i]] == max(runs))
+
+
+def test_every_row_is_as_alike_as_it_says(docs, texts):
+    """All rows, on whole tables, by plain counting."""
+    said, plain = dict(texts), lambda t: re.findall(r"\w+", t.lower())
+    found = substring_dedup.repeated_passages(docs).collect()
+    assert found
+    for r in found:
+        own, other = plain(said[r.doc_id][r.start : r.end]), plain(said[r.other_id][r.other_start : r.other_end])
+        if all(c.isascii() for c in said[r.doc_id] + said[r.other_id]) and "_" not in said[r.doc_id] + said[r.other_id]:
+            assert r.words == len(own) >= 50 <= len(other)
+            assert abs(likeness_of_words(own, other) - r.similarity) < 1e-9
+        assert r.similarity >= 0.8 and r.other_id < r.doc_id
+        assert r.passage_md5 == hashlib.md5(said[r.doc_id][r.start : r.end].encode()).hexdigest()
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages with a similarity of 0.8 to 0.9, each in two documents."""
+    rng = random.Random(23)
+    say = lambda n: rng.choices(WORDS, k=n)
+    rows, need = [], []
+    while len(need) < 400:
+        passage = say(rng.choice((55, 60, 80, 120)))
+        edited = list(passage)
+        for at in rng.sample(range(5, len(passage) - 5), rng.randint(1, len(passage) // 25)):
+            edited[at : at + 1] = rng.choice(([], ["new"], [edited[at], "more"]))
+        if 0.8 <= likeness_of_words(passage, edited) <= 0.9 and min(len(passage), len(edited)) >= 50:
+            k = 10 * len(need)
+            need.append(k + 1)
+            rows += [(k, " ".join(say(rng.randint(0, 90)) + passage + say(30))), (k + 1, " ".join(say(rng.randint(0, 90)) + edited + say(30)))]
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum((k, k - 1) in found for k in need)
+    assert hit >= 0.9 * len(need) and len(found) == hit
+
+
+def test_a_repeat_behind_a_common_phrase(spark):
+    """Many documents share forty words; a few go on alike. Those are found although the others come first."""
+    rng = random.Random(29)
+    say = lambda n: rng.choices(WORDS, k=n)
+    phrase = say(40)
+    rows, need = [(i, " ".join(say(rng.randint(30, 50)) + phrase + say(30))) for i in range(60)], set()
+    for i in range(40):
+        tail = say(30)
+        rows += [(100 + 2 * i + j, " ".join(say(rng.randint(30, 50)) + phrase + tail + say(20))) for j in (0, 1)]
+        need.add((101 + 2 * i, 100 + 2 * i))
+    rng.shuffle(rows)
+    found = {(r.doc_id, r.other_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert need <= found
+
+
+def test_recent_windows():
+    recent = substring_dedup.Recent()
+    a = lambda *v: np.array(v, np.int64)
+    w = lambda *v: np.array(v, np.uint64)
+    assert not recent.meet(w(1, 5), a(7, 8), a(70, 80))[0].any()
+    had, doc, span = recent.meet(w(1, 3, 5), a(9, 1, 2), a(90, 10, 20))
+    assert had.tolist() == [True, False, False] and doc.tolist() == [7] and span.tolist() == [70]  # 2 is less than 8
+    had, doc, _ = recent.meet(w(3, 5), a(4, 4), a(0, 0))
+    assert had.all() and doc.tolist() == [1, 2]
+
+
 def test_passages_are_cut_once(spark):
     rng = random.Random(13)
     say = lambda n: " ".join(rng.choices(WORDS, k=n))
