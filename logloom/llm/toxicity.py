@@ -1,12 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-A word is a chain of expressions: its beginnings of 3, 4, 5, 6 and 8 bytes, then itself. At each level an expression's
-probability in a class is its discounted count there (documents that hold it), and the discounted mass goes to a
-distribution that both classes share. A log-likelihood ratio moves away from that of the next shorter beginning only
-as far as its counts bear out (``CAUTION`` standard errors), so a rare word, or one never seen, is judged by what it
-shares with others, and what no class has seen says nothing. The log-likelihoods of a text under the two classes are
-compared for each word of its length; a logistic curve, fitted on halves of the sample that the counts did not see,
-turns that into a score.
+A word is a chain of expressions: its beginnings of 3, 4, 5, 6 and 8 bytes, then itself. In each class an expression
+follows the one before it in the chain with an interpolated Kneser-Ney probability: its discounted count there
+(documents that hold it), and the discounted mass times a distribution that both classes share, which rests on
+continuation counts: the number of contexts, here classes, that an expression has been seen in, as if the class were the
+oldest symbol of the context. A word's log-likelihood is the sum along its chain.
+
+Of the two classes' log-likelihoods only the difference matters. Taken as it is, chance decides: most words are rare,
+and a text has hundreds of them. So a chain's difference moves away from that of the next shorter beginning only as far
+as its counts bear out (``CAUTION`` standard errors; none gives the plain models), and what no class has seen says
+nothing. A text's difference is normalised by the root of its length in words, since chance grows with the root, and a
+word that a text repeats counts as the root of its repeats. A logistic curve, monotone, fitted on halves of the sample
+that the counts did not see, turns that into a score.
 
 The classifier is fitted on at most about ``PER_CLASS`` labelled rows of each class, chosen by a hash of their key.
 """
@@ -145,43 +150,52 @@ class Evidence:
         return total, number
 
 
-def evidence(t: dict[str, np.ndarray], levels: dict[int, dict[str, float]], which: str) -> Evidence:
-    """Log-likelihood ratios from collected counts; ``which`` names the folds that count.
-
-    ``levels`` has for each level the occurrences ``n`` and the kinds ``k`` of each class over all expressions.
-    """
-    if not len(t["key"]):
-        return Evidence(np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    tox, plain = (sum(t[f"{c}{f}"] for f in which).astype(float) for c in "to")
-    order = np.argsort(t["key"].view(np.uint64))
-    keys, parent, level = (t[c][order] for c in ("key", "parent", "level"))
-    keys, parent, tox, plain = keys.view(np.uint64), parent.view(np.uint64), tox[order], plain[order]
-    of = lambda name: np.array([levels.get(i, {}).get(f"{name}_{which}") or 0 for i in range(len(LEVELS) + 1)], float)[level]
-    shared = (tox + plain + 0.5) / (of("nt") + of("no") + 1)
-
-    def p(c: np.ndarray, n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        return (np.maximum(c - DISCOUNT, 0) + DISCOUNT * np.maximum(kinds, 1) * shared) / np.maximum(n, 1)
-
-    own = np.log(p(tox, of("nt"), of("kt")) / p(plain, of("no"), of("ko")))
-    doubt = CAUTION * np.sqrt(1 / (tox + 0.5) + 1 / (plain + 0.5))
-    up = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
-    rooted = (parent != 0) & (keys[up] == parent)
-    value = np.zeros(len(keys))
+def ratios(parent: np.ndarray, level: np.ndarray, tox: np.ndarray, plain: np.ndarray, caution: float) -> np.ndarray:
+    """For each expression the difference of the log-likelihoods of its chain up to it. ``parent`` is the index of the
+    expression before it in the chain, or the number of expressions where there is none."""
+    n = len(parent)
+    seen = (tox > 0).astype(float) + (plain > 0)
+    contexts = np.bincount(parent, seen, n + 1)[parent]
+    shared = (np.maximum(seen - DISCOUNT, 0) + DISCOUNT) / contexts  # the kinds that share the discounted mass cancel out
+    follows = []
+    for count in (tox, plain):
+        total, kinds = np.bincount(parent, count, n + 1), np.bincount(parent, count > 0, n + 1)
+        left = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)[parent]
+        follows.append(np.maximum(count - DISCOUNT, 0) / np.maximum(total[parent], 1) + left * shared)
+    step = np.log(follows[0] / follows[1])
+    doubt = caution * np.sqrt(1 / (tox + 0.5) + 1 / (plain + 0.5))
+    whole, value = np.zeros(n + 1), np.zeros(n + 1)
     for k in range(len(LEVELS) + 1):  # a parent's level is always lower
         mine = np.flatnonzero(level == k)
-        before = np.where(rooted[mine], value[up[mine]], 0)
-        move = own[mine] - before
+        whole[mine] = whole[parent[mine]] + step[mine]
+        before = value[parent[mine]]
+        move = whole[mine] - before
         value[mine] = before + np.sign(move) * np.maximum(np.abs(move) - doubt[mine], 0)
-    return Evidence(keys, value.astype(np.float32))
+    return value[:n]
+
+
+def evidence(t: dict[str, np.ndarray], which: str, caution: float = CAUTION) -> Evidence:
+    """Log-likelihood ratios from all counts; ``which`` names the folds that count. An expression that says the same as
+    the one before it need not be kept."""
+    tox, plain = (sum(t[f"{c}{f}"].astype(float) for f in which) for c in "to")
+    order = np.argsort(t["key"].view(np.uint64))
+    order = order[(tox + plain)[order] > 0]
+    if not len(order):
+        return Evidence(np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    keys, parent, level = t["key"].view(np.uint64)[order], t["parent"].view(np.uint64)[order], t["level"][order]
+    up = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
+    up = np.where((parent != 0) & (keys[up] == parent), up, len(keys))
+    value = ratios(up, level, tox[order], plain[order], caution)
+    new = value != np.append(value, 0)[up]
+    return Evidence(keys[new], value[new].astype(np.float32))
 
 
 def features(total: np.ndarray, number: np.ndarray) -> np.ndarray:
-    n = np.maximum(number, 1)
-    return np.stack([total / n, total / np.sqrt(n), np.log1p(number), np.ones(len(n))], axis=1)
+    return np.stack([total / np.sqrt(np.maximum(number, 1)), np.ones(len(total))], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted, slightly ridged logistic regression by Newton steps."""
+    """Weighted, slightly ridged logistic regression by Newton steps; more of the first feature is never less."""
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     z, beta, ridge = x / scale, np.zeros(x.shape[1]), 1e-2 * np.eye(x.shape[1])
     for _ in range(60):
@@ -190,6 +204,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         beta += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
+    beta[0] = max(beta[0], 0.0)
     return beta / scale
 
 
@@ -217,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not (sizes.get(0) and sizes.get(1)):
         share = 1.0 if sizes.get(1) else 0.0
-        return Model(Evidence(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.array([0, 0, 0, 30.0 if share else -30.0]))
+        return Model(Evidence(np.zeros(0, np.uint64), np.zeros(0, np.float32)), np.array([0, 30.0 if share else -30.0]))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) < F.when(F.col("y") == 1, int(PER_CLASS / sizes[1] * (1 << 30)) + 1).otherwise(int(PER_CLASS / sizes[0] * (1 << 30)) + 1)
     chosen = spark.createDataFrame(known.where(draw).select(key, "y").toArrow(), schema=known.select(key, "y").schema)  # bounded by PER_CLASS
     drawn = docs.select(key, text).join(F.broadcast(chosen), key).select(text, "y", F.pmod(F.xxhash64(F.col(key), F.lit(8)), F.lit(2)).cast("int").alias("fold"), F.xxhash64(F.col(key), F.lit(9)).alias("order"))
@@ -227,12 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     sample = saved(drawn.select(text, "y", "fold"), "toxicity-sample")
     counts = sample.mapInArrow(tidy(count_batches), "key long, parent long, level long, t0 long, o0 long, t1 long, o1 long")
     counts = saved(counts.groupBy("key", "parent", "level").agg(*(F.sum(c).alias(c) for c in COUNTS)), "toxicity-counts")
-    both = [(f"{c}_{w}", sum((F.col(f"{c}{f}") for f in w), F.lit(0))) for w in ("0", "1", "01") for c in "to"]
-    levels = {r["level"]: r.asDict() for r in counts.groupBy("level").agg(*(x for name, c in both for x in (F.sum(c).alias(f"n{name}"), F.count_if(c > 0).alias(f"k{name}")))).collect()}
-    wide = counts.where("t0 + o0 + t1 + o1 >= 2").toArrow()  # bounded by the sample
+    small = counts.select("key", "parent", F.col("level").cast("byte"), *(F.col(c).cast("int") for c in COUNTS))
+    wide = small.toArrow()  # bounded by the sample
     t = {name: np.asarray(wide.column(name)) for name in wide.column_names}
     del wide
-    halves = [evidence(t, levels, "1"), evidence(t, levels, "0")]  # a half is scored by the other's counts
+    halves = [evidence(t, "1"), evidence(t, "0")]  # a half is scored by the other's counts
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,10 +257,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     got = sample.mapInArrow(tidy(check), "total double, number long, y long").toArrow()
     total, number, y = (np.asarray(got.column(i)) for i in range(3))
     taken = np.array([max((y == c).sum(), 1) for c in (0, 1)])
-    beta = logistic(features(total, number), y, np.array([sizes[0], sizes[1]])[y] / taken[y] / (sizes[0] + sizes[1]) * len(y)) if len(set(y.tolist())) == 2 else np.array([0, 0, 0, 0.0])
+    beta = logistic(features(total, number), y, np.array([sizes[0], sizes[1]])[y] / taken[y] / (sizes[0] + sizes[1]) * len(y)) if len(set(y.tolist())) == 2 else np.array([0, 0.0])
     for done in (sample, counts):
         discard(done)
-    return Model(evidence(t, levels, "01"), beta)
+    return Model(evidence(t, "01"), beta)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -266,6 +280,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: key, held_out, score, predicted."""
+    """One row per row of ``docs``: key, held_out, score, predicted.
+
+    Null, empty and wordless texts are scored like any other, by the curve's value at no evidence. Very long texts are
+    scored whole, in pieces of bounded size. Equal texts have equal scores (ties too), repeated rows each their own row; a key with
+    several labels is toxic if one says so, and null labels and keys teach nothing. Rows with a null key are scored and
+    not held out. Other columns are not read, whatever their names. Without labels of both classes the score is that of
+    the only class, 0 without any. An empty table gives no rows.
+    """
     out = score(docs, fit(docs, labels, text, key), text, (key,))
     return out.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,8 +1,11 @@
+import math
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 from logloom.llm import license_scan, toxicity
 from logloom.llm.textnum import Memo, distinct, prefix_hash, runs, span_hash
@@ -55,6 +58,61 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.classify(docs.where("false"), marks).count() == 0
 
 
+def plain_kneser_ney(docs):
+    """Log-likelihood of a word under each class, by dictionaries and recursion as in a textbook."""
+    ends = lambda w: [w[:k] for k in toxicity.LEVELS if len(w) > k] + [w + b"$"]
+    count = {0: Counter(), 1: Counter()}
+    follow = {}
+    for text, y in docs:
+        pairs = {(a, b) for w in text.encode().split() for a, b in zip([b"", *ends(w)], ends(w), strict=False)}
+        count[y].update(pairs)
+        for a, b in pairs:
+            follow.setdefault(a, set()).add(b)
+    d = toxicity.DISCOUNT
+    contexts = lambda a, b: sum((a, b) in count[c] for c in (0, 1))
+
+    def shared(a, b):
+        total = sum(contexts(a, x) for x in follow[a])
+        return max(contexts(a, b) - d, 0) / total + d * len(follow[a]) / total / len(follow[a])
+
+    def probability(a, b, y):
+        total, kinds = sum(count[y][a, x] for x in follow[a]), sum((a, x) in count[y] for x in follow[a])
+        if not total:
+            return shared(a, b)
+        return max(count[y][a, b] - d, 0) / total + d * kinds / total * shared(a, b)
+
+    return lambda w, y: sum(math.log(probability(a, b, y)) for a, b in zip([b"", *ends(w.encode())], ends(w.encode()), strict=False))
+
+
+def test_log_likelihoods_are_those_of_plain_kneser_ney():
+    rng = random.Random(6)
+    syllables = ["ab", "be", "cor", "da", "el", "fin"]
+    docs = [(" ".join("".join(rng.choices(syllables, k=rng.randint(1, 5))) for _ in range(rng.randint(3, 30))), int(rng.random() < 0.4)) for _ in range(60)]
+    plain = plain_kneser_ney(docs)
+    batch = pa.RecordBatch.from_arrays([pa.array([t for t, _ in docs]), pa.array([y for _, y in docs]), pa.array([i % 2 for i in range(len(docs))])], ["text", "y", "fold"])
+    table = pa.Table.from_batches(list(toxicity.count_batches(iter([batch]))))
+    frame = table.to_pandas().groupby(["key", "parent", "level"], as_index=False).sum()
+    found = toxicity.evidence({c: frame[c].to_numpy() for c in frame}, "01", caution=0.0)
+    words = sorted({w for t, _ in docs for w in t.split()})
+    got, number = found.sums(words)
+    assert (number == 1).all() and np.allclose(got, [plain(w, 1) - plain(w, 0) for w in words], atol=1e-5)
+    cautious = toxicity.evidence({c: frame[c].to_numpy() for c in frame}, "01").sums(words)[0]
+    assert (np.abs(cautious) <= np.abs(got).max()).all() and np.abs(cautious).sum() < np.abs(got).sum()
+
+
+def test_toxicity_of_repeated_rows_and_very_long_texts(spark):
+    rng = random.Random(8)
+    filler = lambda: " ".join(rng.choices([f"w{k}" for k in range(400)], k=30))
+    rows = [(i, filler() + (" snarl bark" if i % 3 == 0 else " calm words"), 1) for i in range(400)]
+    rows += [(5, rows[5][1], 1), (5, "other text of a repeated key", 1), (None, "snarl bark snarl", 1), (900, "calm words here " * 100_000, 1), (901, "snarl bark now " * 100_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out int")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)] + [(None, 1), (7, None), (0, 0)], "doc_id long, toxic int")
+    got = toxicity.classify(docs, marks).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 5 for r in got) == 3 and not any(r.held_out for r in got if r.doc_id is None)
+    score = {r.doc_id: r.score for r in got}
+    assert score[901] > score[900] and len({r.score for r in got if r.doc_id == 5}) == 2
+
+
 def test_held_out_labels_are_not_learnt(spark):
     rows = [(i, f"word{i % 7} text {i}") for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
