@@ -201,6 +201,22 @@ def test_a_repeat_behind_a_common_phrase(spark):
     assert need <= found
 
 
+def test_crowded_keys_are_split(spark, monkeypatch):
+    """As before, where every key that three documents have is crowded; also where a third of all rows has a passage."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", 3)
+    test_a_repeat_behind_a_common_phrase(spark)
+    rng = random.Random(31)
+    say = lambda n: rng.choices(WORDS, k=n)
+    shared = say(60)
+    rows = [(i, " ".join(say(20) + (shared if i % 3 == 0 else say(60)) + say(20))) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert len(substring_dedup.crowded(frame, 46, "text", "doc_id"))
+    found = substring_dedup.repeated_passages(frame).collect()
+    assert {r.doc_id for r in found} == set(range(3, 600, 3)) and all(r.words >= 50 and r.similarity == 1.0 for r in found)
+    spread = substring_dedup.without_repeats(frame).collect()
+    assert sum(" ".join(shared) in r.text for r in spread) == 1
+
+
 def test_recent_windows():
     recent = substring_dedup.Recent()
     a = lambda *v: np.array(v, np.int64)
