@@ -16,33 +16,56 @@ from ..session import ship  # noqa: F401
 BATCH = 8 << 20
 
 
+#: Folders that ``saved`` has written and nobody has deleted yet.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir, or on one machine one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         found = Path(tempfile.gettempdir(), "logloom-checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder and read from there, so that lost executors cost no more than a read."""
+    """The rows, written once to the shared folder and read from there, so that lost executors cost no more than a read.
+    The caller discards the table, or whoever clears the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame | None) -> None:
     """Deletes a table that ``saved`` wrote and nothing reads any more."""
     if df is None:
         return
-    spark = df.sparkSession
     with contextlib.suppress(Exception):
         for file in df.inputFiles()[:1]:
             folder = file.rpartition("/")[0]
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+            _made[:] = [p for p in _made if p.rpartition("/")[2] != folder.rpartition("/")[2]]
+
+
+def tables_made() -> int:
+    """How many tables there are now, for ``discard_since``."""
+    return len(_made)
+
+
+def discard_since(spark: SparkSession, before: int) -> None:
+    """Deletes all tables but the last that were written since, when the last is all that is still read."""
+    for folder in _made[before:-1]:
+        _delete(spark, folder)
+    del _made[before:-1]
 
 
 def in_parts(batches: Iterator, size: int = BATCH) -> Iterator:

@@ -221,22 +221,20 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(key, component_id) for every row: the least key that pairs of texts with at least this Jaccard similarity of
-    shingles lead to, itself included.
+def said(text: Column) -> Column:
+    """Digest of a text's words as ``shingle_digests`` takes them; texts with equal words are one text."""
+    small = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.md5(F.trim(F.regexp_replace(small, r"[\x20\x09-\x0D]+", " ")))
 
-    At similarity 0.8 fingerprints differ in about ten of 64 bits, which no ball of practical size holds. So candidates
-    are fingerprints within the radius and texts with a band of min-hashes in common; both are verified on all shingles.
-    Equal words are one text. Texts without words are equal. Rows with null keys link with equal texts only; rows with
-    equal keys count as one document.
-    """
-    rows = docs.select(key, text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+def text_groups(docs: DataFrame, text: str, key: str, width: int, similarity: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, words) of all documents, and for each distinct text (words, rep, component_id): the least key that has
+    it, and the least that pairs of texts with at least this Jaccard similarity of shingles lead to."""
+    rows = docs.select(key, text, said(F.col(text)).alias("__words"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sketches, bands, words = [], [], [], []
+            prints, sketches, bands = [], [], []
             for x in texts(batch.column(1)):
                 digests = shingle_digests(x, width, seed)
                 least = min_hashes(digests)
@@ -246,32 +244,33 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
                 for column in least.reshape(BANDS, DEPTH).T:
                     made = mix(made ^ column, 5)
                 bands.append(mix(made ^ np.arange(BANDS, dtype=np.uint64), 6).view(np.int64))
-                words.append(hashlib.md5(b" ".join(x.encode().lower().split())).digest())
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(bands)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sketches, pa.binary()), keys, pa.array(words, pa.binary())], ["id", "fp", "sketch", "bands", "words"])
-
-    prints = saved(rows.mapInArrow(tidy(run), f"id {rows.schema[key].dataType.simpleString()}, fp long, sketch binary, bands array<long>, words binary"), "near-copy-sketches")
-    equal = saved(prints.groupBy("words").agg(F.min("id").alias("rep")), "distinct-texts")
-    named = equal.where("rep is not null").select("words", "rep")
-    once = prints.join(named, (prints["words"] == named["words"]) & (prints["id"] == named["rep"])).select("rep", "fp", "sketch", "bands").dropDuplicates(["rep"])
-    once = saved(once, "distinct-sketches")
-    first = saved(once.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(b"".join(prints), ">i8").astype(np.int64)), pa.array(sketches, pa.binary()), keys, batch.column(2)], ["id", "fp", "sketch", "bands", "words"])
+
+    prints = saved(rows.mapInArrow(tidy(run), f"id {rows.schema[key].dataType.simpleString()}, fp long, sketch binary, bands array<long>, words string"), "near-copy-sketches")
+    equal = prints.groupBy("words").agg(F.min("id").alias("rep"), *(F.any_value(c).alias(c) for c in ("fp", "sketch", "bands")))
+    equal = saved(equal.withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
+    once = equal.where("rep is not null").select("node", "fp", "sketch", "bands")
+    first = saved(once.groupBy("fp").agg(F.min("node").alias("node")), "distinct-fingerprints")
     close = link_fingerprints(first)
     for side in ("a", "b"):
-        close = close.join(first.select(F.col("fp").alias(side), F.col("rep").alias(f"{side}_rep")), side)
-    close = close.select(F.greatest("a_rep", "b_rep").alias("a"), F.least("a_rep", "b_rep").alias("b"))
-    kept = once.join(first, "fp").where(once["rep"] != first["rep"]).select(once["rep"].alias("a"), first["rep"].alias("b"))
-    bands = once.select(F.explode("bands").alias("key"), F.col("rep").cast("long").alias("id"), "sketch")
+        close = close.join(first.select(F.col("fp").alias(side), F.col("node").alias(f"{side}_node")), side)
+    close = close.select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    kept = once.join(first.withColumnRenamed("node", "first"), "fp").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    bands = once.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "sketch")
     meeting = bands.repartition("key").sortWithinPartitions("key", "sketch", "id").mapInArrow(tidy(alike), "a long, b long")
     pairs = saved(close.unionByName(kept).unionByName(meeting).where("a <> b").distinct(), "near-copy-candidates")
-    asked = pairs.select(F.col("a").alias("id"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), "a", "b", F.lit(1).alias("side")))
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+    sides = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
+    asked = sides.join(equal.select("node", F.col("rep").cast("long").alias("id"), "words"), "node")
+    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), said(F.col(text)).alias("words"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
         for batch in batches:
             out = []
             for a, b, side, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), texts(batch.column(3)), strict=True):
+                if side == 0 and held and held[:2] == (a, b):
+                    continue  # a repeated row
                 shingles = np.unique(shingle_digests(x, width, seed).view(">u8").astype(np.uint64))
                 if side == 0:
                     held = a, b, shingles
@@ -280,7 +279,37 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    verified = source.join(asked, "id").select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
+    verified = source.join(asked, ["id", "words"]).select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
     joined = components(verified, "a", "b")
-    classes = equal.join(joined, equal["rep"] == joined["id"], "left").select("words", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "words").select(F.col("id").alias(key), "component_id")
+    members = equal.select("node", "words", "rep").join(joined, equal["node"] == joined["id"], "left").select("words", "rep", F.coalesce("component", "node").alias("group"))
+    least = members.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return prints.select("id", "words"), members.join(least, "group").select("words", "rep", "group", "component_id")
+
+
+def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """(key, component_id) for every row: the least key that pairs of texts with at least this Jaccard similarity of
+    shingles lead to, itself included.
+
+    At similarity 0.8 fingerprints differ in about ten of 64 bits, which no ball of practical size holds. So candidates
+    are fingerprints within the radius and texts with a band of min-hashes in common; both are verified on all shingles.
+    Equal words are one text; texts without words (null texts too) are equal; shorter ones than ``width`` words are one
+    shingle. Texts that only rows with null keys have link with equal texts only. Rows are grouped by their own text,
+    so rows with equal keys may be in two groups. Keys are whole numbers; very long texts are taken whole; other columns
+    are not read. An empty table gives no rows.
+    """
+    rows, groups = text_groups(docs, text, key, width, similarity, seed)
+    return rows.join(groups.select("words", "component_id"), "words").select(F.col("id").alias(key), "component_id")
+
+
+def without_near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of ``near_copies``, all columns carried along.
+
+    The row that stays has the group's least key; of repeated rows, with one key and equal words, any one stays. A group
+    with null keys alone keeps one row.
+    """
+    _, groups = text_groups(docs, text, key, width, similarity, seed)
+    mark = lambda k, words: F.concat(words, F.lit(" "), F.coalesce(k.cast("string"), F.lit("null")))
+    best = groups.groupBy("group").agg(F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("words"))).alias("one"))
+    chosen = best.select(mark(F.col("one.rep"), F.col("one.words")).alias("__mark"))
+    marked = docs.withColumn("__mark", mark(F.col(key), said(F.col(text))))
+    return marked.join(chosen, "__mark").dropDuplicates(["__mark"]).select(*docs.columns)

@@ -70,5 +70,39 @@ def test_near_copies_go_by_their_similarity(spark, data):
     assert len(gone) > 80 and kept == {k for k, _ in rows} - gone
 
 
+def odd_rows():
+    """Repeated rows, a key with two texts, null and empty texts, null keys, and columns with names used within."""
+    rng = random.Random(33)
+    say = lambda n: " ".join(rng.choices([f"k{i}" for i in range(3000)], k=n))
+    a, b, c = say(120), say(130), say(90)
+    return [(1, a), (1, a), (5, a), (5, b), (7, None), (8, ""), (None, c), (None, c), (9, "  "), (10, " ".join([a.upper(), "x"])), (None, a)], (a, b, c)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(k, t, "en", "s", len(t or ""), "m", 4, "w") for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, fp string, node int, words string")
+
+
+def test_stages_on_odd_rows(spark, data):
+    rows, (a, b, c) = odd_rows()
+    docs = frame(spark, rows)
+    assert corpus_pipeline.toxicity_stage(spark, docs, data).count() == len(rows)
+    kept = corpus_pipeline.simhash_stage(spark, docs, data)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (5, b), (7, ""), (0, c)])
+    cut = corpus_pipeline.substring_stage(spark, docs, data).collect()
+    assert len(cut) == len(rows)
+    assert sorted(r.text for r in cut if r.doc_id in (1, 5)) == sorted([a, a, "", b]) and all(r.text == c for r in cut if r.doc_id is None and r.text != a)
+    assert all(r.n_chars == len(r.text or "") for r in cut)
+    pieces = corpus_pipeline.packing_stage(spark, docs, data).collect()
+    assert sum(r.start == 0 for r in pieces) == len(rows)
+    assert sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+def test_stages_on_an_empty_table(spark, data):
+    docs = frame(spark, odd_rows()[0]).where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, data).count() == 0
+
+
 def test_whole_run(spark, data):
     assert corpus_pipeline.run(spark, data).count() > 0
