@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from logloom.llm import packing, simhash_dedup, substring_dedup, toxicity
 from logloom.llm.queries import table, vocabulary
-from logloom.llm.runtime import saved, ship
+from logloom.llm.runtime import discard_since, saved, ship, tables_made
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.7."""
+    """The rows whose toxicity score is below 0.7, unchanged.
+
+    A row is judged by its own text, so repeated rows stay or go together; null, empty and wordless texts are scored at
+    no evidence, and rows with null keys like others. The model learns from labelled rows of ``docs``; without labels of
+    both classes it knows one class only. An empty table stays empty.
+    """
     ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="__toxicity")
@@ -23,15 +28,22 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word similarity of 0.8 or more the one with the least doc_id."""
+    """One row of each group linked by a five-word similarity of 0.8 or more: the one with the least doc_id.
+
+    Rows are grouped by their texts: of repeated rows one stays, and rows with one doc_id and texts that are not alike
+    all stay. Null texts, empty ones and those without words are one group. Of a group with null doc_ids alone one row
+    stays. An empty table stays empty.
+    """
     ship(spark)
-    groups = simhash_dedup.near_copies(docs, width=5, similarity=0.8)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return simhash_dedup.without_near_copies(docs, width=5, similarity=0.8)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of 50 words and more that an earlier one has; n_chars follows the text."""
+    """All rows, without passages of 50 words and more that an earlier document has; n_chars follows the text.
+
+    Null, empty and short texts and rows with null doc_ids stay as they are; rows with equal doc_ids count as one
+    document, whose own repeats are not meant. An empty table stays empty.
+    """
     ship(spark)
     cut = substring_dedup.without_repeats(docs, min_words=50, similarity=0.8)
     if "n_chars" in docs.columns:
@@ -40,7 +52,11 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all rows in sequences of at most 4096 tokens.
+
+    Null and empty texts are packed as their end token, repeated rows and null doc_ids each for themselves. An empty
+    table gives no pieces.
+    """
     ship(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), capacity=4096, end_id=2)
 
@@ -51,7 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents. A stage's own tables and its input are deleted when its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), tables_made()
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard_since(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
