@@ -30,12 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What runs here deletes its shuffle files at its end instead of when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder and read from there, so that lost executors cost no more than a read.
     The caller discards the table, or whoever clears the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/logloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing_shuffles(spark):
+        df.write.parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
