@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,29 @@ from ..operators import copies, graph, postings, projects, ranking, reconcile, s
 from ..operators.filters import EVERYTHING, ProjectFilter
 from ..session import ship
 from ..sources import files
-from .store import Store
+from .store import Conflict, Store
 
 #: Versions of the derived tables' contents.
 TERMS_SCHEMA, EDGES_SCHEMA = "1", "6"
 
 
+def writes(method: Callable) -> Callable:
+    """A job of the store, done again from the new state if another writer came first."""
+
+    @wraps(method)
+    def run(self: Engine, *args, **more):  # noqa: ANN002, ANN003, ANN202
+        for left in (2, 1, 0):
+            try:
+                with self.store.job():
+                    return method(self, *args, **more)
+            except Conflict:
+                if not left or self.store.pinned is not None:  # the outermost job is done again
+                    raise
+        return None
+
+    return run
+
+
 @dataclass
 class Recall:
     """Sessions in order: id, hits, and whether the query names them or only the graph led there."""
@@ -41,6 +59,7 @@ class Engine:
 
     # Writes.
 
+    @writes
     def ingest(self, parsed: DataFrame, load: Callable[[list[str]], DataFrame] | None = None) -> dict[str, int]:
         """Takes parsed sessions in: private ones are purged and remembered, names follow aliases, and each session is
         new, same, appended to, or rewritten. Returns how many sessions are which.
@@ -118,6 +137,7 @@ class Engine:
         df = self.table("term_df").unionByName(less).groupBy("project", "term").agg(F.sum("msgs").alias("msgs")).where("msgs > 0")
         return {"msg_edges": log, "topic_edges": graph.topic_edges(log), "term_df": df, "indexed": copies.without(indexed, ids)}
 
+    @writes
     def purge(self, sessions: DataFrame | str) -> None:
         """Takes sessions out of every table."""
         ids = self._ids(sessions) if isinstance(sessions, str) else sessions
@@ -126,11 +146,13 @@ class Engine:
             out[name] = copies.without(self.table(name), ids)
         self.store.commit(out)
 
+    @writes
     def mark_no_ingest(self, session_id: str, path: str = "", tag: str = "private") -> None:
         row = self.spark.createDataFrame([(session_id, path, tag, datetime.now(UTC))], self.table("no_ingest").schema)
         self.store.commit({"no_ingest": copies.without(self.table("no_ingest"), row).unionByName(row)})
         self.purge(session_id)
 
+    @writes
     def index_full(self, min_df: int = 2) -> dict[str, int]:
         """Builds the whole graph anew."""
         rows = self.table("messages")
@@ -142,6 +164,7 @@ class Engine:
         self.store.commit(out)
         return {"messages": n, "pairs": self.table("msg_edges").where("kind = ''").count()}
 
+    @writes
     def index_new(self, min_df: int = 2) -> dict[str, int]:
         """Adds messages that are not in the graph yet, by the frequencies of all; thresholds are those of the run."""
         meta = {r["key"]: r["value"] for r in self.table("meta").collect()}
@@ -169,15 +192,18 @@ class Engine:
         now = {r["key"]: r["value"] for r in self.table("meta").collect()} | values
         return self.spark.createDataFrame(sorted(now.items()), "key string, value string")
 
+    @writes
     def set_meta(self, **values: str) -> None:
         self.store.commit({"meta": self._meta(**values)})
 
+    @writes
     def replace_edges(self, edges: DataFrame) -> None:
         """Seeds the graph: project, term_a, term_b, kind, from_term, to_term, weight, evidence, one row per edge."""
         kind = F.when(F.col("kind") == "", graph.COMENTION).otherwise(F.col("kind"))
         both = graph.directed(edges.withColumn("kind", kind))
         self.store.commit({"topic_edges": both, "topics": graph.topics(both, both.select("project", F.col("term_a").alias("term"), F.col("term_a").alias("label")).distinct())})
 
+    @writes
     def suppress_copies(self) -> int:
         """Takes sessions out that are the beginning of another source's session, and remembers their owners."""
         known = self.table("session_copies").join(self.table("sessions").select("session_id", "source", "project"), "session_id")
@@ -192,6 +218,7 @@ class Engine:
             self.store.commit(out | {"session_copies": marked})
         return n
 
+    @writes
     def prepare_copies(self) -> int:
         """Identities of sessions that have none."""
         missing = self.table("sessions").join(self.table("session_copies"), "session_id", "left_anti").select("session_id")
@@ -224,11 +251,13 @@ class Engine:
         found = self.resolve_project(request)
         return ProjectFilter(substring=request) if found.reason == "none" else found.filter
 
+    @writes
     def save_identity(self, project: str, repo_root: str = "", remote_url: str = "", common_dir: str = "") -> None:
         table = self.table("project_identities")
         row = self.spark.createDataFrame([(project, repo_root, remote_url, common_dir, datetime.now(UTC))], table.schema)
         self.store.commit({"project_identities": table.where(F.col("project") != project).unionByName(row)})
 
+    @writes
     def rename_project(self, request: str, new: str) -> dict:
         """Gives a project another name in every table; two projects are never merged."""
         new = clean_path(new)
@@ -356,6 +385,7 @@ class Engine:
         low, high = (max(0, around - (context or 0)), around + (context or 0)) if around is not None else (first or 0, last if last is not None else (first or 0) + 19)
         return self.window(self.resolve_session(reference), low, high, -1 if around is None else around)
 
+    @writes
     def backfill_sessions(self) -> None:
         """Placeholders and update times for sessions of older versions."""
         newest = self.table("messages").groupBy("session_id").agg(F.max("created_at").alias("newest"))
@@ -364,6 +394,7 @@ class Engine:
         out = rows.select("session_id", "source", "project", "started_at", "path", unknown("model"), unknown("effort"), F.coalesce("updated_at", "newest").alias("updated_at"))
         self.store.commit({"sessions": out})
 
+    @writes
     def ensure_schemas(self) -> list[str]:
         """Rebuilds derived tables that an older version made; returns which."""
         now = {r["key"]: r["value"] for r in self.table("meta").collect()}

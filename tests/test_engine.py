@@ -6,7 +6,7 @@ from logloom.operators import copies, graph, sessions
 from logloom.operators.filters import ProjectFilter
 from logloom.operators.projects import Resolver
 from logloom.plans.engine import Engine
-from logloom.plans.store import MissingStore, Store
+from logloom.plans.store import Conflict, MissingStore, Store
 from logloom.sources import files
 from logloom.streaming.daemon import Daemon
 
@@ -27,6 +27,43 @@ def test_missing_store(spark, tmp_path):
         Store(spark, str(tmp_path / "none"), create=False)
 
 
+def test_readers_keep_what_they_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda *v: spark.createDataFrame([(x, "1") for x in v], "key string, value string")
+    store.commit({"meta": rows("a", "b")})
+    before = store.read("meta")
+    store.commit({"meta": rows("c")})
+    during = store.read("meta")
+    store.repack()
+    assert sorted(r.key for r in before.collect()) == ["a", "b"] and [r.key for r in during.collect()] == ["c"]
+    assert store.vacuum() == 0 and before.count() == 2
+    assert store.vacuum(keep_seconds=-1) == 2 and [r.key for r in store.read("meta").collect()] == ["c"]
+    store.commit({}, {"meta": rows("d")})
+    assert sorted(r.key for r in store.read("meta").collect()) == ["c", "d"]
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two commits from one state one is refused; an engine's job is then done again."""
+    a, b = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    rows = lambda v: spark.createDataFrame([(v, "1")], "key string, value string")
+    with pytest.raises(Conflict), a.job():
+        b.commit({}, {"meta": rows("b")})
+        a.commit({}, {"meta": rows("a")})
+    assert [r.key for r in a.read("meta").collect()] == ["b"] and a.pinned is None
+    one, two = (Engine(spark, str(tmp_path / "engine")) for _ in range(2))
+    plain, first = one._meta, []
+
+    def meddled(**values):
+        made = plain(**values)
+        if not first:
+            first.append(two.set_meta(other="2"))
+        return made
+
+    one._meta = meddled
+    one.set_meta(mine="1")
+    assert {r.key: r.value for r in two.table("meta").collect()} == {"mine": "1", "other": "2"}
+
+
 def test_search_and_word_forms(spark, engine):
     engine.ingest(parsed(spark, ("a", "x", "/p", [("user", "the enemies disengaged at dawn"), ("assistant", "sailing boats")]), ("b", "x", "/q", [("user", "enemy ships"), ("system", "enemy context")])))
     hits = engine.search("enemy disengage").collect()
