@@ -204,11 +204,11 @@ def literal(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-TERMS_SQL = "with " + t.DOCUMENTS + f""", cw as (select session_id, seq, project, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')) as term from docs),
-terms as (select distinct session_id, seq, project, term from cw where strlen(term) >= 3 and term not in ({literal(text.STOPWORDS)}) and not regexp_matches(term, '^\\p{{Nd}}+$')),
-pdf as (select project, term, count(*) as msgs from terms group by all),
-caps as (select project, count(*) as total, case when floor(count(*) * 0.25) >= 2 then cast(floor(count(*) * 0.25) as bigint) else count(*) end as cap from docs group by project),
-top as (select * from (select session_id, seq, project, term, row_number() over (partition by session_id, seq, project order by msgs, term) as place
+TERMS_SQL = "with " + t.DOCUMENTS + f""", cw as materialized (select session_id, seq, project, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}]+')) as term from docs),
+terms as materialized (select distinct session_id, seq, project, term from cw where strlen(term) >= 3 and term not in ({literal(text.STOPWORDS)}) and not regexp_matches(term, '^\\p{{Nd}}+$')),
+pdf as materialized (select project, term, count(*) as msgs from terms group by all),
+caps as materialized (select project, count(*) as total, case when floor(count(*) * 0.25) >= 2 then cast(floor(count(*) * 0.25) as bigint) else count(*) end as cap from docs group by project),
+top as materialized (select * from (select session_id, seq, project, term, row_number() over (partition by session_id, seq, project order by msgs, term) as place
   from terms join pdf using (project, term) join caps using (project) where msgs between 2 and cap) where place <= 12),
 pairs as (select a.session_id, a.seq, a.project, a.term as term_a, b.term as term_b from top a join top b using (session_id, seq, project) where a.term < b.term),
 und as (select project, term_a, term_b, count(*) as weight from pairs group by all),
@@ -373,7 +373,7 @@ def copy_covered_pairs(spark: SparkSession, d: str) -> DataFrame:
     return copies.covered_pairs(_copies(spark, d))
 
 
-@query("copy_suppression")
+@query("copy_suppression", COPY_SQL + " select copy_id as session_id, min(owner_id) as duplicate_of from cov join ids o on o.session_id = owner_id where o.eligible and starts_with(copy_id, 'y:') and not starts_with(owner_id, 'y:') group by 1")
 def copy_suppression(spark: SparkSession, d: str) -> DataFrame:
     return copies.suppress(_copies(spark, d))
 
@@ -495,3 +495,6 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
 def graph_full_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """The whole graph with stems, relations and labels."""
     return graph.topic_edges(graph.message_edges(t.documents(spark, d), 2))
+
+
+from . import log_queries  # noqa: E402, F401  (registers the readers of logs)

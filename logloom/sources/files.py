@@ -67,6 +67,12 @@ def parse_files(spark: SparkSession, paths: list[str], folders: dict | None = No
     local = [p for p in paths if "://" not in p]
     raw = spark.read.format("binaryFile").load([Path(p).resolve().as_uri() if p in local else p for p in paths])
     names = {Path(p).resolve().as_uri().replace("file:///", "file:/"): p for p in local}
+    return parse_contents(raw, folders, names)
+
+
+def parse_contents(raw: DataFrame, folders: dict | None = None, names: dict | None = None) -> DataFrame:
+    """The same from rows (path, modificationTime, content); ``names`` are other names of paths."""
+    names = names or {}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
