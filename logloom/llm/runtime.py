@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship  # noqa: F401
 
 #: Rows of about so many bytes are worked on at a time.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 #: Folders that ``saved`` has written and nobody has deleted yet.

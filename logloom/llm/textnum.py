@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 _U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, _U64)

@@ -33,7 +33,7 @@ PER_CLASS = 6000
 LEVELS = (3, 4, 5, 6, 8)
 DISCOUNT = 0.75
 CAUTION = 2.5
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def _lower() -> np.ndarray:
