@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .runtime import saved, tidy
 SAMPLE = 16_384
 CHUNK = 1024
 CODES = 64
+#: So many widths, the most frequent, have an index of their own; vectors of another width are on one list, in chunks.
+WIDTHS = 64
 
 
 @dataclass
@@ -83,6 +86,11 @@ def fit(x: np.ndarray, lists: int, parts: int = 8) -> Index:
     return Index(centres, [k_means(residual[:, i : i + w], CODES) for i in range(0, x.shape[1], w)])
 
 
+@lru_cache(maxsize=256)
+def one_list(width: int) -> Index:
+    return fit(np.ones((1, width)) / np.sqrt(width), 1)
+
+
 def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Values in double precision, list offsets, and which vectors are usable (not null, finite, not zero)."""
     column = column.cast(pa.list_(pa.float64())) if column.type != pa.list_(pa.float64()) else column
@@ -129,9 +137,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
     once = saved(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
     n = once.count()
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    widths = [r[0] for r in once.select((F.length("v") / 8).cast("int").alias("w")).distinct().limit(65).collect()]
-    if len(widths) > 64:
-        raise ValueError("vectors of more than 64 widths")
+    widths = [r[0] for r in once.groupBy((F.length("v") / 8).cast("int").alias("w")).count().orderBy(F.desc("count"), "w").limit(WIDTHS).collect()]
     indexes: dict[int, Index] = {}
     draw = F.pmod(F.xxhash64("v"), F.lit(max(1, n // SAMPLE))) == 0
     for w in widths:
@@ -151,8 +157,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
             take, lists, role = [], [], []
             for w in np.unique(size).tolist():
                 mine = np.flatnonzero(size == w)
-                index = shared.value[w]
-                apart = np.sqrt(np.maximum(((index.centres[:, None] - index.centres[None]) ** 2).sum(axis=2), 0))
+                index = shared.value.get(w) or one_list(w)
+                norms = (index.centres**2).sum(axis=1)
+                apart = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * index.centres @ index.centres.T, 0)) + 1e-6  # rounding never hides a list
                 for i in range(0, len(mine), 1024):
                     part = mine[i : i + 1024]
                     x = np.frombuffer(b"".join([raw[j] for j in part]), np.float64).reshape(-1, w)
@@ -167,9 +174,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
                     role += [np.zeros(len(own), bool), np.ones(len(q), bool)]
             if take:
                 at = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.concatenate(role)), *(batch.column(k).take(at) for k in (1, 2, 3))], ["label", "list", "query", "v", "rep", "copies"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(lists).astype(np.int64)), pa.array(np.concatenate(role)), *(batch.column(k).take(at) for k in (1, 2, 3))], ["label", "list", "query", "v", "rep", "copies"])
 
-    placed = once.select("label", "v", "rep", "copies").mapInArrow(tidy(place), f"label {kind}, list int, query boolean, v binary, rep long, copies long")
+    placed = once.select("label", "v", "rep", "copies").mapInArrow(tidy(place), f"label {kind}, list long, query boolean, v binary, rep long, copies long")
     placed = saved(placed, "placed-vectors")
     sizes = placed.where("not query").groupBy("label", "list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
     cut = placed.join(sizes, ["label", "list"])
@@ -204,7 +211,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
             """Answers the queries that wait; the chunk's members stay for those to come."""
             if state.get("asks") and state["members"]:
                 w, c = state["list"] >> 16, state["list"] & 0xFFFF
-                index = shared.value[w]
+                index = shared.value.get(w) or one_list(w)
                 if state.get("held") is None:
                     base, who, copies = full(state["members"])
                     codes, error = index.encode(base - index.centres[c])

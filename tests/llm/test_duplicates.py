@@ -326,6 +326,16 @@ def test_embeddings_of_few_dimensions(spark):
     assert got.n_links.tolist() == near.tolist()
 
 
+def test_embeddings_of_more_widths_than_indexes(spark, vectors, monkeypatch):
+    """Also with further columns whose names are used within."""
+    monkeypatch.setattr(embedding_dedup, "WIDTHS", 1)
+    rows = [(w * 10 + i, [1.0 + 0.001 * i] * (w - 1) + [2.0], 0, "x", 1) for w in range(2, 9) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, v string, rep int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert all(got[w * 10 + i].n_links == 2 and got[w * 10 + i].component_id == w * 10 for w in range(2, 9) for i in range(3))
+    test_embeddings(spark, vectors)
+
+
 def test_fingerprints(docs, texts):
     got = {r.doc_id: r for r in fingerprints.compare(docs, per_bucket=16).collect()}
     ordered = sorted(texts)
