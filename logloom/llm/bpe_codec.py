@@ -12,13 +12,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import tidy
+from .runtime import loaded, tidy
 from .textnum import Memo, char_chunks, code_points, distinct, prefix_hash, span_hash, texts
 
 END = ""  # stands for the end-of-word suffix, once
@@ -34,7 +33,7 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=1)
+@loaded(1)
 def classes() -> np.ndarray:
     """For each code point: none (white space), letter, number or other."""
     import regex
@@ -47,7 +46,7 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
+@loaded(1)
 def unsettled() -> np.ndarray:
     """Code points on which editions of Unicode differ; the tokenizer library is asked for each that occurs."""
     kind = {"L": _LETTER, "N": _NUMBER}
@@ -221,12 +220,12 @@ class WordCodec:
         return " ".join(map(self.shown.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+@loaded(2)
 def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-@lru_cache(maxsize=2)
+@loaded(2)
 def digest_memo(path: str) -> Memo:
     c = codec(path)
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, stars
-from .runtime import saved, tidy
+from .runtime import loaded, saved, tidy
 
 #: The index is fitted on at most about so many rows, chosen by a hash.
 SAMPLE = 16_384
@@ -86,7 +85,7 @@ def fit(x: np.ndarray, lists: int, parts: int = 8) -> Index:
     return Index(centres, [k_means(residual[:, i : i + w], CODES) for i in range(0, x.shape[1], w)])
 
 
-@lru_cache(maxsize=256)
+@loaded(256)
 def one_list(width: int) -> Index:
     return fit(np.ones((1, width)) / np.sqrt(width), 1)
 

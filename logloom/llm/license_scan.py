@@ -9,7 +9,6 @@ diagonals, confirms.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_texts import TEXTS
-from .runtime import tidy
+from .runtime import loaded, tidy
 from .textnum import char_chunks, mix, span_hash, texts, utf8_bytes
 from .toxicity import words
 
@@ -99,7 +98,7 @@ class Templates:
         return np.repeat(known, size), self.owners[entry], self.places[entry]
 
 
-@lru_cache(maxsize=4)
+@loaded(4)
 def templates(given: tuple[tuple[str, str], ...]) -> Templates:
     return Templates(dict(given))
 

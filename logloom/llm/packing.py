@@ -13,14 +13,13 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe_codec import codec
-from .runtime import tidy
+from .runtime import loaded, tidy
 from .textnum import Memo, texts
 
 
@@ -100,7 +99,7 @@ class HarmonicPacker:
         return rows
 
 
-@lru_cache(maxsize=2)
+@loaded(2)
 def ids_memo(path: str) -> Memo:
     """Ids of words as the tokenizer library gives them, as little-endian bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,32 @@ def discard_since(spark: SparkSession, before: int) -> None:
     del _made[before:-1]
 
 
+#: What this worker has loaded, and the function whose task ran here last.
+_loaded: list = []
+_last = ""
+
+
+def loaded(size: int) -> Callable:
+    """``lru_cache`` for what tasks load (vocabularies, remembered words): a worker keeps it between tasks of one
+    function and drops it when another's begins, as workers outlive stages."""
+
+    def wrap(make: Callable) -> Callable:
+        cache = lru_cache(maxsize=size)(make)
+        _loaded.append(cache)
+        return cache
+
+    return wrap
+
+
+def begin(function: str) -> None:
+    """A task of ``function`` begins in this worker."""
+    global _last
+    if function != _last:
+        for cache in _loaded:
+            cache.cache_clear()
+        _last = function
+
+
 def in_parts(batches: Iterator, size: int = BATCH) -> Iterator:
     """Record batches cut into slices of about ``size`` bytes, a row at least."""
     for batch in batches:
@@ -92,7 +119,10 @@ def in_parts(batches: Iterator, size: int = BATCH) -> Iterator:
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The function over small batches, giving memory back to the system when a task ends, as Python workers live on."""
 
+    function = f"{run.__module__}.{run.__qualname__}"
+
     def wrapped(batches: Iterator) -> Iterator:
+        begin(function)
         try:
             yield from run(in_parts(batches))
         finally:

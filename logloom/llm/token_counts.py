@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .runtime import tidy
+from .runtime import loaded, tidy
 from .textnum import Memo, char_chunks, code_points, distinct, prefix_hash, runs, span_hash, texts
 
 SPACE = "▁"
@@ -82,7 +81,7 @@ class PieceCounter:
         return out
 
 
-@lru_cache(maxsize=2)
+@loaded(2)
 def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
