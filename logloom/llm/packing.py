@@ -107,7 +107,7 @@ def ids_memo(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    return Memo(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)], 400_000)
+    return Memo(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)], 150_000)
 
 
 def pack(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
