@@ -13,7 +13,9 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,6 +24,9 @@ from .bpe_codec import codec
 from .runtime import loaded, tidy
 from .textnum import Memo, texts
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 
 class HarmonicPacker:
     """Pieces are (key, start, ids as little-endian bytes, tokens of the whole document)."""
@@ -103,11 +108,19 @@ class HarmonicPacker:
 def ids_memo(path: str) -> Memo:
     """Ids of words as the tokenizer library gives them, as little-endian bytes."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    return Memo(lambda words: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(words, add_special_tokens=False)], 150_000)
+    return Memo(lambda words: [ids for at in range(0, len(words), 512) for ids in word_ids(library, words[at : at + 512])], 150_000)
+
+
+def word_ids(library: Tokenizer, words: list[str]) -> list[bytes]:
+    """Each word's ids, asked for in one call: white space parts words, and an id belongs to the word it begins in."""
+    found = library.encode(" ".join(words), add_special_tokens=False)
+    begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+    ids = np.array(found.ids, "<u4").tobytes()
+    cuts = (4 * np.searchsorted([o[0] for o in found.offsets], begins)).tolist()
+    return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 def pack(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
