@@ -55,6 +55,23 @@ def unsettled() -> np.ndarray:
     return (own != known) & (known != _NONE)
 
 
+@loaded(1)
+def moved() -> np.ndarray:
+    """Code points that the tokenizer library's edition of Unicode orders or composes differently in NFC."""
+    import regex
+    from tokenizers.normalizers import NFC
+
+    out, known = np.zeros(0x110000, bool), [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = [*filter(unicodedata.decomposition, known), *regex.findall(r"\p{M}", "".join(known))]
+    # marks of the least and of a high class move around a mark that has a class
+    for tried in (every, [unicodedata.normalize("NFD", c) for c in every], [c + "\u0334" for c in every], ["\u0315" + c for c in every]):
+        lines = "\n".join(tried)
+        for c, own, other in zip(every, unicodedata.normalize("NFC", lines).split("\n"), NFC().normalize_str(lines).split("\n"), strict=True):
+            if own != other:
+                out[ord(c)] = True
+    return out
+
+
 class WordCodec:
     """Words and ids of a word-end BPE vocabulary file (NFC, lower case, white space dropped, byte-level letters)."""
 
@@ -86,7 +103,8 @@ class WordCodec:
         self.auto.make_automaton()
         self.letters, self.fits = byte_letters(), {}
         self.path, self.kind, self.ask, self.low = path, classes().copy(), unsettled().copy(), {}
-        self.rare = unsettled()
+        self.moved = moved()
+        self.rare = unsettled() | self.moved
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stand side by side in the encoding of their joined text."""
@@ -150,13 +168,21 @@ class WordCodec:
                         self.ask[ord(x)] = False
         return ["".join([self.low.get(c, c.lower()) for c in x]) if any(c in self.low for c in x) else x for x in rows]
 
+    def composed(self, row: str) -> str:
+        """The row in NFC, by the library where editions of Unicode differ, and without capital sigmas."""
+        form = row if row.isascii() else unicodedata.normalize("NFC", row)
+        if any(self.moved[ord(c)] for c in set(form)):
+            from tokenizers.normalizers import NFC
+
+            form = NFC().normalize_str(row)
+        return form.replace("Σ", "σ")
+
     def words(self, rows: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Joined normal text, its code points, starts and ends of words, and where each row's words begin."""
         normal = [(x if x.isascii() else unicodedata.normalize("NFC", x).replace("Σ", "σ")).lower() for x in rows]
         joined, points, offsets = code_points(normal)
         if self.rare[points].any():
-            forms = [x if x.isascii() else unicodedata.normalize("NFC", x).replace("Σ", "σ") for x in rows]
-            joined, points, offsets = code_points([x.lower() for x in self.settle(forms)])
+            joined, points, offsets = code_points([x.lower() for x in self.settle([self.composed(x) for x in rows])])
         kind = self.kind[points]
         n = len(kind)
         if not n:

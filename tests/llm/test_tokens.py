@@ -1,4 +1,5 @@
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -50,6 +51,20 @@ def test_any_text(rows, pieces, library):
     assert bpe_codec.encode_texts(WORDS, rows) == [library.encode(x, add_special_tokens=False).ids for x in rows]
 
 
+def test_marks_that_editions_of_unicode_order_differently(library):
+    marks = [chr(i) for i in np.flatnonzero(bpe_codec.moved())]
+    rows = [x for c in marks for x in (f"a{c}\u0334b", f"\u0315{c}", unicodedata.normalize("NFD", c), f"x {c}\u0301é Σ")]
+    assert len(marks) > 50
+    assert bpe_codec.encode_texts(WORDS, rows) == [library.encode(x, add_special_tokens=False).ids for x in rows]
+
+
+@settings(max_examples=200, deadline=None)
+@given(rows=st.lists(ODD, min_size=1, max_size=6))
+def test_ids_of_words_asked_for_together(rows, library):
+    got = bpe_codec.codec(WORDS).per_row(rows, packing.ids_memo(WORDS), lambda i: i.to_bytes(4, "little"))
+    assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in rows]
+
+
 def test_long_units(pieces, library):
     for t in ("a" * 4000, "ab" * 3000, " " * 999, "'" * 99, "don't we'll 'sup ''s x's's"):
         assert token_counts.counter(PIECES).count([t])[0] == len(pieces.encode(t))
