@@ -2,11 +2,15 @@
 
 Unit vectors are put on the coarse list of their nearest centre; residuals are coded in subspaces. A pair with cosine
 ``c`` or more lies within ``r = sqrt(2 - 2c)``. A vector probes every list whose bisecting plane towards its own list
-is no farther than ``r``, beyond which no neighbour can be. On a list, asymmetric distances come from lookup tables, and as each code's own error is stored, the triangle inequality says which rows may still be near. Those are
-compared exactly, in double precision. Equal vectors of a label are one row with a number of copies.
-
-Lists are cut into chunks of at most about ``CHUNK`` rows, which are tasks' units of work, so a crowded list is shared
-out; links are counted there, and only as many as span their components leave the task.
+is no farther than ``r``, beyond which no neighbour can be. On a list, asymmetric distances come from the codes, and as
+each code's own error is stored, the triangle inequality says which rows may still be near. Those are compared exactly,
+in double precision. Equal vectors of a label are one row with a number of copies.
+
+The vectors of a label are dealt into blocks, and each two blocks are one task's unit of work, so a pair of vectors meets
+once and a row is sent as often as its label has blocks, however many lists it probes. Vectors are sent as they came, and
+units are worked on in passes, each of which sends about as many bytes as the table has and deletes them at its end. So
+the disk in use does not grow with the number of blocks. Links are counted in a unit, and only as many as span their
+components leave it.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components, stars
+from .components import Forest, components
 from .runtime import loaded, saved, tidy
 
 #: The index is fitted on at most about so many rows, chosen by a hash.
 SAMPLE = 16_384
-CHUNK = 1024
 CODES = 64
-#: So many widths, the most frequent, have an index of their own; vectors of another width are on one list, in chunks.
+#: Rows of a block at least, and their bytes at most; a table has about so many blocks or more.
+BLOCK, BLOCK_BYTES, BLOCKS = 1024, 16 << 20, 12
+#: Bytes that a pass sends, or as many as all vectors have, if these are more.
+PASS_BYTES = 64 << 20
+#: So many widths, the most frequent, have an index of their own; vectors of another width are on one list.
 WIDTHS = 64
 
 
@@ -50,14 +57,9 @@ class Index:
             left[:, part] -= book[codes[:, m]]
         return codes, np.linalg.norm(left, axis=1)
 
-    def distances(self, residual: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of queries (as residuals to the list's centre) to coded rows."""
-        total, w = np.zeros((len(residual), len(codes)), np.float32), self.width()
-        for m, book in enumerate(self.books):
-            q = residual[:, m * w : m * w + book.shape[1]]
-            table = ((q[:, None, :] - book[None]) ** 2).sum(axis=2)
-            total += table[:, codes[:, m]].astype(np.float32)
-        return np.sqrt(total)
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The residuals that codes stand for."""
+        return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
 
 
 def nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -104,24 +106,100 @@ def unit(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def distinct_vectors(table: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """(rep, label, bytes, copies) for each distinct usable unit vector of a label, and rows (key, rep)."""
+    """(id, label, v): each row with the bytes of its numbers, null for a vector that links with nothing."""
+    real = np.dtype(np.float32 if table.schema[vector].dataType.simpleString() == "array<float>" else np.float64)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets, good = unit(batch.column(1))
-            out: list[bytes | None] = []
-            for i, ok in enumerate(good.tolist()):
-                x = values[offsets[i] : offsets[i + 1]]
-                if ok:
-                    x = x / np.abs(x).max()  # so that squares stay finite
-                    x = x / np.sqrt((x * x).sum())
-                out.append((x + 0.0).tobytes() if ok else None)
+            data = (values + 0.0).astype(real).tobytes()
+            ends = (offsets * real.itemsize).tolist()
+            out = [data[ends[i] : ends[i + 1]] if ok else None for i, ok in enumerate(good.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["id", "label", "v"])
 
     kind = table.schema[label].dataType.simpleString()
     return table.select(key, vector, label).mapInArrow(tidy(pack), f"id long, label {kind}, v binary")
 
 
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
+
+
+class Block:
+    """Rows of one label sorted by list, with their codes."""
+
+    def __init__(self, raw: np.ndarray, rep: np.ndarray, copies: np.ndarray, index: Index, radius: float):
+        at = np.concatenate([index.assign(units(raw[i : i + 4096])) for i in range(0, len(raw), 4096)])
+        order = np.argsort(at, kind="stable")
+        self.raw, self.rep, self.copies, self.at = raw[order], rep[order], copies[order].astype(np.float64), at[order]
+        self.coded = np.empty(raw.shape, np.float32)
+        self.least = np.empty(len(raw), np.float32)  # the product with a coded row of whatever may be near the row
+        for i in range(0, len(raw), 4096):
+            s = slice(i, i + 4096)
+            centre = index.centres[self.at[s]]
+            codes, error = index.encode(units(self.raw[s]) - centre)
+            coded = centre + index.decode(codes)
+            self.coded[s] = coded
+            self.least[s] = (1 + (coded**2).sum(axis=1) - (radius + error + 1e-6) ** 2) / 2 - 1e-4  # rounding never hides a row
+
+
+def links_between(a: Block, b: Block, index: Index, radius: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between rows of two blocks (places in each), or of one, each link once."""
+    norms = (index.centres**2).sum(axis=1)
+    apart = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * index.centres @ index.centres.T, 0)) + 1e-6  # rounding never hides a list
+    for i in range(0, len(a.raw), 512):
+        x = units(a.raw[i : i + 512])
+        own = a.at[i : i + 512]
+        square = norms[None] - 2 * x @ index.centres.T
+        probe = square - square[np.arange(len(x)), own][:, None] <= 2 * apart[own] * radius + 1e-9
+        probe[np.arange(len(x)), own] = True
+        listed = np.flatnonzero(probe.any(axis=0)[b.at])  # rows on the lists that these rows probe
+        if a is b:
+            listed = listed[listed > i]
+        small = x.astype(np.float32)
+        for j in range(0, len(listed), 2048):
+            to = listed[j : j + 2048]
+            near = small @ b.coded[to].T >= b.least[to][None]
+            if a is b:
+                near &= to[None] > np.arange(i, i + len(x))[:, None]
+            p, q = np.nonzero(near)
+            if not len(p):
+                continue
+            if 16 * len(p) > near.size:  # crowded: all at once, and what is next to the threshold for itself
+                y = units(b.raw[to])
+                cosine = (x @ y.T)[p, q]
+                edge = np.flatnonzero(np.abs(cosine - threshold) < 1e-9)
+            else:
+                cosine, edge, y = np.empty(len(p)), np.arange(len(p)), None
+            for k in range(0, len(edge), 1 << 14):
+                e = edge[k : k + (1 << 14)]
+                cosine[e] = (x[p[e]] * (units(b.raw[to[q[e]]]) if y is None else y[q[e]])).sum(axis=1)
+            hit = cosine >= threshold
+            if hit.any():
+                yield i + p[hit], to[q[hit]]
+
+
+def joined_up(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least place that each place is joined to, after further links."""
+    u, v = root[u], root[v]
+    new = np.flatnonzero(u != v)
+    if not len(new):
+        return root
+    pairs = np.unique(np.stack([u[new], v[new]], axis=1), axis=0)
+    ids, inverse = np.unique(pairs, return_inverse=True)
+    inverse = inverse.reshape(-1, 2)
+    forest = Forest(len(ids))
+    for x, y in inverse.tolist():
+        forest.union(x, y)
+    to = np.arange(len(root))
+    to[ids] = ids[[forest.find(k) for k in range(len(ids))]]
+    return to[root]
+
+
 def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per row: key, n_links (other rows linked directly), component_id (least key reachable), kept.
 
@@ -131,113 +209,85 @@ def near_duplicates(table: DataFrame, threshold: float = 0.93, key: str = "vec_i
     with nothing either; keys are expected to be distinct. An empty table gives no rows.
     """
     spark = table.sparkSession
-    rows = saved(distinct_vectors(table, key, vector, label), "vectors")
+    real = np.dtype(np.float32 if table.schema[vector].dataType.simpleString() == "array<float>" else np.float64)
+    rows = distinct_vectors(table, key, vector, label)
     usable = rows.where("v is not null and label is not null and id is not null")
     once = saved(usable.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "distinct-vectors")
+    once = once.withColumn("w", (F.length("v") / real.itemsize).cast("int"))
     n = once.count()
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    widths = [r[0] for r in once.groupBy((F.length("v") / 8).cast("int").alias("w")).count().orderBy(F.desc("count"), "w").limit(WIDTHS).collect()]
+    widths = [r[0] for r in once.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WIDTHS).collect()]
     indexes: dict[int, Index] = {}
     draw = F.pmod(F.xxhash64("v"), F.lit(max(1, n // SAMPLE))) == 0
     for w in widths:
-        got = once.where((F.length("v") == 8 * w) & draw).select("v").limit(2 * SAMPLE).toArrow()  # the index's bounded sample
-        x = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float64).reshape(-1, w)
-        if not len(x):
-            x = np.ones((1, w)) / np.sqrt(w)
-        indexes[w] = fit(x, int(np.clip(np.sqrt(n) / 8, 1, 1024)))
+        got = once.where((F.col("w") == w) & draw).select("v").limit(2 * SAMPLE).toArrow()  # the index's bounded sample
+        x = np.frombuffer(b"".join(got.column(0).to_pylist()), real).reshape(-1, w)
+        indexes[w] = fit(units(x) if len(x) else np.ones((1, w)) / np.sqrt(w), int(np.clip(np.sqrt(n) / 8, 1, 1024)))
     shared = spark.sparkContext.broadcast(indexes)
-    kind = table.schema[label].dataType.simpleString()
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row on its own list, and a query on each list that its neighbours may be on."""
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
-            size = np.array([len(v) // 8 for v in raw])
-            take, lists, role = [], [], []
-            for w in np.unique(size).tolist():
-                mine = np.flatnonzero(size == w)
-                index = shared.value.get(w) or one_list(w)
-                norms = (index.centres**2).sum(axis=1)
-                apart = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * index.centres @ index.centres.T, 0)) + 1e-6  # rounding never hides a list
-                for i in range(0, len(mine), 1024):
-                    part = mine[i : i + 1024]
-                    x = np.frombuffer(b"".join([raw[j] for j in part]), np.float64).reshape(-1, w)
-                    square = ((x**2).sum(axis=1)[:, None] + (index.centres**2).sum(axis=1)[None] - 2 * x @ index.centres.T)
-                    own = np.argmin(square, axis=1)
-                    gap = square - square[np.arange(len(x)), own][:, None]
-                    probe = gap <= 2 * apart[own] * radius + 1e-9
-                    probe[np.arange(len(x)), own] = True
-                    q, c = np.nonzero(probe)
-                    take += [part, part[q]]
-                    lists += [own + (w << 16), c + (w << 16)]
-                    role += [np.zeros(len(own), bool), np.ones(len(q), bool)]
-            if take:
-                at = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(lists).astype(np.int64)), pa.array(np.concatenate(role)), *(batch.column(k).take(at) for k in (1, 2, 3))], ["label", "list", "query", "v", "rep", "copies"])
-
-    placed = once.select("label", "v", "rep", "copies").mapInArrow(tidy(place), f"label {kind}, list long, query boolean, v binary, rep long, copies long")
-    placed = saved(placed, "placed-vectors")
-    sizes = placed.where("not query").groupBy("label", "list").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / CHUNK)).cast("int").alias("chunks"))
-    cut = placed.join(sizes, ["label", "list"])
-    members = cut.where("not query").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    asks = cut.where("query").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    work = members.unionByName(asks).select("label", "list", "chunk", "query", "v", "rep", "copies")
+    most = F.least(F.lit(max(BLOCK, n // BLOCKS)), F.greatest(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (4 * F.col("w")))))
+    groups = once.groupBy("label", "w").agg(F.count("*").alias("n")).where("n > 1")
+    groups = saved(groups.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("group", F.monotonically_increasing_id()), "vector-groups")
+    size = F.col("n") * (F.col("w") * real.itemsize + 48)
+    all_bytes, sent_bytes = groups.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * F.col("blocks")), F.lit(0))).first()
+    passes = max(1, -(-sent_bytes // max(PASS_BYTES, all_bytes)))
+    dealt = once.join(groups.select("label", "w", "group", "blocks"), ["label", "w"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = dealt.select("group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "w", "v", "rep", "copies")
+    turn = F.pmod(F.xxhash64("group", "lo", "hi"), F.lit(passes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by chunk, its members first: exact links of each chunk's queries, counted and spanned."""
-        state: dict = {}
-
-        def answer(index: Index, c: int, held: tuple, vectors: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-            base, codes, error, who, copies = held
-            near = index.distances(vectors - index.centres[c], codes) <= radius + error[None] + 1e-6
-            a, b = np.nonzero(near)
-            cosine = np.empty(len(a))
-            for i in range(0, len(a), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                cosine[s] = (vectors[a[s]] * base[b[s]]).sum(axis=1)
-            hit = (cosine >= threshold) & (rep[a] != who[b])
-            a, b = a[hit], b[hit]
-            if len(a):
-                links = np.bincount(a, weights=copies[b], minlength=len(rep)).astype(np.int64)
-                some = np.flatnonzero(links)
-                u, v = stars(rep[a], who[b])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rep[some], u])), pa.array(np.concatenate([links[some], np.zeros(len(u), np.int64)])), pa.array(np.concatenate([rep[some], v]))], ["a", "links", "b"])
-
-        def full(part: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return np.frombuffer(b"".join([r[4] for r in part]), np.float64).reshape(len(part), -1), np.array([r[5] for r in part], np.int64), np.array([r[6] for r in part], np.float64)
+        """Rows sorted by unit: exact links of each unit's rows, counted and spanned."""
+        at, w, parts = None, 0, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            """Answers the queries that wait; the chunk's members stay for those to come."""
-            if state.get("asks") and state["members"]:
-                w, c = state["list"] >> 16, state["list"] & 0xFFFF
-                index = shared.value.get(w) or one_list(w)
-                if state.get("held") is None:
-                    base, who, copies = full(state["members"])
-                    codes, error = index.encode(base - index.centres[c])
-                    state["held"] = base, codes, error, who, copies
-                vectors, rep, _ = full(state["asks"])
-                yield from answer(index, c, state["held"], vectors, rep)
-            state["asks"] = []
+            if not parts:
+                return
+            block, rep, copies = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+            raw = np.concatenate([p[3] for p in parts])
+            parts.clear()
+            index = shared.value.get(w) or one_list(w)
+            halves = [np.flatnonzero(block == k) for k in sorted({at[1], at[2]})]
+            if not all(len(h) for h in halves):
+                return
+            sides = [Block(raw[h], rep[h], copies[h], index, radius) for h in halves]
+            del raw
+            begin = len(sides[0].rep) if len(sides) == 2 else 0
+            rep = np.concatenate([s.rep for s in sides])
+            copies = np.concatenate([s.copies for s in sides])
+            links, root = np.zeros(len(rep)), np.arange(len(rep))
+            for a, b in links_between(sides[0], sides[-1], index, radius, threshold):
+                b = b + begin
+                links += np.bincount(a, weights=copies[b], minlength=len(rep)) + np.bincount(b, weights=copies[a], minlength=len(rep))
+                root = joined_up(root, a, b)
+            some, tied = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(rep)))
+            if len(some):
+                made = (np.concatenate([rep[some], rep[tied]]), np.concatenate([links[some].astype(np.int64), np.zeros(len(tied), np.int64)]), np.concatenate([rep[some], rep[root[tied]]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["a", "links", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if state.get("at") != row[:3]:
+            if not batch.num_rows:
+                continue
+            group, lo, hi, block, width, rep, copies = (np.asarray(batch.column(k)) for k in (0, 1, 2, 3, 4, 6, 7))
+            starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))).tolist()
+            for i, j in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                here = int(group[i]), int(lo[i]), int(hi[i])
+                if here != at:
                     yield from flush()
-                    state = {"at": row[:3], "list": row[1], "members": [], "asks": []}
-                if row[3]:
-                    state["asks"].append(row)
-                    if len(state["asks"]) == 256:
-                        yield from flush()
-                else:
-                    state["members"].append(row)
+                    at, w = here, int(width[i])
+                raw = np.frombuffer(b"".join(batch.column(5).slice(i, j - i).to_pylist()), real).reshape(-1, w)
+                parts.append((block[i:j], rep[i:j], copies[i:j], raw))
         yield from flush()
 
-    found = work.repartition("label", "list", "chunk").sortWithinPartitions("label", "list", "chunk", "query").mapInArrow(tidy(search), "a long, links long, b long")
-    found = saved(found, "vector-links")
-    counts = found.groupBy("a").agg(F.sum("links").alias("others"))
+    found = None
+    for k in range(passes):
+        units_of = work.where(turn == k) if passes > 1 else work
+        links = saved(units_of.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi").mapInArrow(tidy(search), "a long, links long, b long"), "vector-links")
+        found = links if found is None else found.unionByName(links)
+    counts = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("others"))
     joined = components(found.where("links = 0"), "a", "b")
     classes = once.join(counts, once["rep"] == counts["a"], "left").join(joined, once["rep"] == joined["id"], "left")
-    classes = classes.select("label", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.join(classes, ["label", "v"]).select("id", "n_links", "component_id")
-    alone = rows.where("v is null or label is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(key), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    classes = classes.select("label", F.sha2("v", 256).alias("digest"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    classes = saved(classes, "vector-classes")
+    every = rows.select("id", "label", F.coalesce(F.when(F.col("id").isNotNull(), F.sha2("v", 256)), F.col("id").cast("string")).alias("digest"))
+    linked = every.join(classes, ["label", "digest"], "left")
+    return linked.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), (F.col("id") == F.coalesce("component_id", "id")).alias("kept"))

@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -326,6 +328,40 @@ def test_embeddings_of_few_dimensions(spark):
     assert got.n_links.tolist() == near.tolist()
 
 
+def test_embeddings_in_blocks_and_passes(spark, vectors, monkeypatch):
+    """Every label in several blocks, few units in a pass, crowded blocks too; results as before."""
+    for name, size in (("BLOCK", 4), ("BLOCKS", 64), ("PASS_BYTES", 1)):
+        monkeypatch.setattr(embedding_dedup, name, size)
+    test_embeddings(spark, vectors)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=64)[None] + rng.normal(size=(500, 64)) * 0.27
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert 0.1 < near.mean() / 500 < 0.9
+    table = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = embedding_dedup.near_duplicates(table).toPandas().sort_values("vec_id")
+    assert got.n_links.tolist() == near.tolist()
+
+
+def test_embeddings_need_little_disk(spark, monkeypatch):
+    """What is written, and what a pass sends, for vectors that probe most lists."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(20_000, 64)).astype(np.float32)
+    x[10_000:] = x[:10_000] + rng.normal(size=(10_000, 64)) * 0.1
+    written, kept = [], embedding_dedup.saved
+
+    def noted(df, name):
+        out = kept(df, name)
+        written.append(sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "saved", noted)
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": list(x), "label": [i % 3 // 2 for i in range(10_000)] * 2}), "vec_id long, embedding array<float>, label int")
+    got = embedding_dedup.near_duplicates(table).toPandas()
+    assert got.n_links.sum() == 20_000 and got.kept.sum() == 10_000
+    assert sum(written) < 1.5 * x.nbytes
+
+
 def test_embeddings_of_more_widths_than_indexes(spark, vectors, monkeypatch):
     """Also with further columns whose names are used within."""
     monkeypatch.setattr(embedding_dedup, "WIDTHS", 1)
