@@ -219,6 +219,39 @@ def test_crowded_keys_are_split(spark, monkeypatch):
     assert sum(" ".join(shared) in r.text for r in spread) == 1
 
 
+def family(size):
+    """Documents with one passage, each edited in its own way; two by two their edits are nearly the same."""
+    rng = random.Random(37)
+    say = lambda n: rng.choices(WORDS, k=n)
+    base, rows = say(56), []
+    for i in range(size):
+        words = list(base)
+        for at in rng.sample(range(56), 3):
+            words[at] = f"own{i}"
+        other = list(words)
+        other[rng.randrange(8, 48)] = f"other{i}"
+        rows += [(10 * i, " ".join(say(50) + words + say(50))), (10 * i + 1, " ".join(say(50) + other + say(50)))]
+    return rows
+
+
+@pytest.mark.parametrize(("crowded", "few", "each"), [(32, 8, 16), (3, 8, 0), (3, 1, 16)])
+def test_a_crowd_hides_no_edited_passage(spark, monkeypatch, crowded, few, each):
+    """Two documents that have a key in common and are alike there are paired or tied by pairs, however many have that key."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(substring_dedup, "FEW", few, raising=False)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 64, raising=False)
+    monkeypatch.setattr(substring_dedup, "EACH", each, raising=False)
+    rows = family(80)
+    keys, _, row, *_ = substring_dedup.windows([t for _, t in rows], 46)
+    own = [set(keys[row == i].tolist()) for i in range(len(rows))]
+    need = [(i, j) for i, j in combinations(range(len(rows)), 2) if own[i] & own[j] and passages_between(rows[j][1], rows[i][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    at = {k: i for i, (k, _) in enumerate(rows)}
+    found = [(at[r.other_id], at[r.doc_id]) for r in substring_dedup.repeated_passages(frame).collect()]
+    root = roots(len(rows), found)
+    assert len(need) > 60 and all(root[i] == root[j] for i, j in need) and {j for _, j in need} <= {j for p in found for j in p}
+
+
 def test_recent_windows():
     recent = substring_dedup.Recent()
     a = lambda *v: np.array(v, np.int64)
