@@ -26,8 +26,10 @@ SMALL = 2048
 #: Min-hashes of a text for near copies: bands of so many, with so many bands. A pair with similarity 0.8 has a band in
 #: common with probability 0.99997.
 BANDS, DEPTH = 20, 4
-#: Rows of a band's key that a row is compared with, and the likeliest of them that are verified.
+#: Rows of a band's key that a row is compared with, and the likeliest of them that are verified, at first.
 REACH, VERIFIED = 128, 8
+#: Rows in a chunk where the rest of a key's pairs is compared.
+CHUNK = 2048
 
 
 def shingle_digests(text: str, width: int, seed: int) -> np.ndarray:
@@ -183,10 +185,15 @@ def min_hashes(digests: np.ndarray) -> np.ndarray:
     return mix(least, 8)  # a least value's own bits are uneven
 
 
+def agreement() -> int:
+    """Bytes that sketches of near copies have in common at least: 0.8 less four standard errors."""
+    return int(BANDS * DEPTH * (0.8 - 4 * np.sqrt(0.16 / (BANDS * DEPTH))))
+
+
 def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that may be near copies, from rows (key, id, sketch) sorted by key and sketch: of the ``REACH`` rows before
     one that have its key, the ``VERIFIED`` whose sketches agree most, if by 0.8 less four standard errors."""
-    least = int(BANDS * DEPTH * (0.8 - 4 * np.sqrt(0.16 / (BANDS * DEPTH))))
+    least = agreement()
     keys, ids, sketches = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS * DEPTH), np.uint8)
     for batch in (batch.slice(i, 1024) for batch in batches for i in range(0, batch.num_rows, 1024)):  # a row has up to REACH pairs
         old = len(keys)
@@ -215,6 +222,48 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sketches = keys[-REACH:], ids[-REACH:], sketches[-REACH:]
 
 
+def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs that may be near copies and are in different groups so far, from rows (key, chunk, asks, id, group,
+    sketch) sorted by key and chunk, those that do not ask first: the chunk's rows, and what is held against them."""
+    at, held, waiting = None, [], []
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        if held and waiting:
+            (i, g, x), (j, h, y) = ((np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join([r[2] for r in rows]), np.uint8).reshape(len(rows), -1)) for rows in (held, waiting))
+            same = np.zeros((len(y), len(x)), np.uint8)
+            for k in range(BANDS * DEPTH):
+                same += y[:, k, None] == x[None, :, k]
+            p, q = np.nonzero((same >= agreement()) & (h[:, None] != g[None]))
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(j[p], i[q])), pa.array(np.minimum(j[p], i[q]))], ["a", "b"])
+        waiting.clear()
+
+    for batch in batches:
+        for key, chunk, asks, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, chunk) != at:
+                yield from pairs()
+                at, held = (key, chunk), []
+            (waiting if asks else held).append(row)
+            if len(waiting) == 512:
+                yield from pairs()
+    yield from pairs()
+
+
+def left_over(once: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts with a band in common that are in different groups of ``joined`` and may be near copies.
+    Of each band's key the rows of one group, the least, are not held against each other, all others against all."""
+    rows = once.join(joined, once["node"] == joined["id"], "left").select("node", "sketch", "bands", F.coalesce("component", "node").alias("group"))
+    bands = rows.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "group", "sketch")
+    mixed = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("main"), F.max("group").alias("most"))
+    mixed = mixed.where((F.col("n") > VERIFIED + 1) & (F.col("main") < F.col("most"))).select("key", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    dealt = saved(bands.join(mixed, "key"), "mixed-bands")
+    members = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("asks", F.lit(False))
+    asks = dealt.where(F.col("group") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(True))
+    columns = ["key", "chunk", "asks", "id", "group", "sketch"]
+    work = members.select(*columns).unionByName(asks.select(*columns))
+    return work.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "asks").mapInArrow(tidy(rest), "a long, b long").distinct()
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two sets of digests, given as sorted distinct values."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -260,8 +309,6 @@ def text_groups(docs: DataFrame, text: str, key: str, width: int, similarity: fl
     bands = once.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "sketch")
     meeting = bands.repartition("key").sortWithinPartitions("key", "sketch", "id").mapInArrow(tidy(alike), "a long, b long")
     pairs = saved(close.unionByName(kept).unionByName(meeting).where("a <> b").distinct(), "near-copy-candidates")
-    sides = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
-    asked = sides.join(equal.select("node", F.col("rep").cast("long").alias("id"), "words"), "node")
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), said(F.col(text)).alias("words"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +326,15 @@ def text_groups(docs: DataFrame, text: str, key: str, width: int, similarity: fl
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    verified = source.join(asked, ["id", "words"]).select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
-    joined = components(verified, "a", "b")
+    def similar(pairs: DataFrame) -> DataFrame:
+        sides = pairs.select(F.col("a").alias("node"), "a", "b", F.lit(0).alias("side")).unionByName(pairs.select(F.col("b").alias("node"), "a", "b", F.lit(1).alias("side")))
+        asked = sides.join(equal.select("node", F.col("rep").cast("long").alias("id"), "words"), "node")
+        return source.join(asked, ["id", "words"]).select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
+
+    joined = components(similar(pairs), "a", "b")
+    more = saved(left_over(once, joined), "near-copy-candidates")
+    if more.head(1):
+        joined = components(similar(more).unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
     members = equal.select("node", "words", "rep").join(joined, equal["node"] == joined["id"], "left").select("words", "rep", F.coalesce("component", "node").alias("group"))
     least = members.groupBy("group").agg(F.min("rep").alias("component_id"))
     return prints.select("id", "words"), members.join(least, "group").select("words", "rep", "group", "component_id")

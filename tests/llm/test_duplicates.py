@@ -234,13 +234,12 @@ def family(size):
     return rows
 
 
-@pytest.mark.parametrize(("crowded", "few", "each"), [(32, 8, 16), (3, 8, 0), (3, 1, 16)])
-def test_a_crowd_hides_no_edited_passage(spark, monkeypatch, crowded, few, each):
+@pytest.mark.parametrize(("crowded", "few"), [(32, 8), (3, 8), (3, 1)])
+def test_a_crowd_hides_no_edited_passage(spark, monkeypatch, crowded, few):
     """Two documents that have a key in common and are alike there are paired or tied by pairs, however many have that key."""
     monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
     monkeypatch.setattr(substring_dedup, "FEW", few, raising=False)
     monkeypatch.setattr(substring_dedup, "CHUNK", 64, raising=False)
-    monkeypatch.setattr(substring_dedup, "EACH", each, raising=False)
     rows = family(80)
     keys, _, row, *_ = substring_dedup.windows([t for _, t in rows], 46)
     own = [set(keys[row == i].tolist()) for i in range(len(rows))]
@@ -252,6 +251,18 @@ def test_a_crowd_hides_no_edited_passage(spark, monkeypatch, crowded, few, each)
     assert len(need) > 60 and all(root[i] == root[j] for i, j in need) and {j for _, j in need} <= {j for p in found for j in p}
 
 
+def test_rows_of_a_crowded_key_are_tied(monkeypatch):
+    """Few pairs and many give the same groups, and each row that has an earlier document alike is paired with one."""
+    rows = family(30)
+    parts, doc = substring_dedup.split([t for _, t in rows]), np.array([k for k, _ in rows])
+    alike = [(i, j) for i, j in combinations(range(len(rows)), 2) if substring_dedup.common(*parts[i][:2], *parts[j][:2], 46, 0.8)]
+    monkeypatch.setattr(substring_dedup, "EACH", 0)
+    made = substring_dedup.tied(parts, doc, np.zeros(len(rows), bool), 46, 0.8).tolist()
+    assert roots(len(rows), made) == roots(len(rows), alike) and {max(p) for p in made} == {j for _, j in alike}
+    monkeypatch.setattr(substring_dedup, "EACH", 1000)
+    assert set(alike) <= {(min(p), max(p)) for p in substring_dedup.tied(parts, doc, np.zeros(len(rows), bool), 46, 0.8).tolist()}
+
+
 def test_recent_windows():
     recent = substring_dedup.Recent()
     a = lambda *v: np.array(v, np.int64)

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from logloom.llm import components, simhash_dedup
 from logloom.llm.queries import QUERIES
 
 CONTRACT = {
@@ -70,6 +71,32 @@ def test_near_copies_go_by_their_similarity(spark, data):
     assert len(gone) > 80 and kept == {k for k, _ in rows} - gone
 
 
+def test_no_near_copy_is_left_out_of_a_large_group(spark, data, monkeypatch):
+    """Groups as with all pairs, although the first step, which looks at a key's neighbours only, finds nothing."""
+    monkeypatch.setattr(simhash_dedup, "alike", lambda batches: (b.select([0, 1]).rename_columns(["a", "b"]).slice(0, 0) for b in batches))
+    monkeypatch.setattr(simhash_dedup, "VERIFIED", 0)
+    monkeypatch.setattr(simhash_dedup, "CHUNK", 16, raising=False)
+    rng = random.Random(41)
+    base = rng.choices([f"k{j}" for j in range(3000)], k=150)
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(150), 3):
+            words[at] = f"own{i}"
+        twin = list(words)
+        twin[rng.randrange(150)] = f"twin{i}"
+        texts += [words, twin]
+    parts = [{tuple(w[k : k + 5]) for k in range(146)} for w in texts]
+    forest = components.Forest(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(parts[i] & parts[j]) / len(parts[i] | parts[j]) >= 0.8:
+                forest.union(i, j)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_copies(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [forest.find(i) for i in range(len(texts))]
+
+
 def odd_rows():
     """Repeated rows, a key with two texts, null and empty texts, null keys, and columns with names used within."""
     rng = random.Random(33)
