@@ -263,6 +263,18 @@ def test_rows_of_a_crowded_key_are_tied(monkeypatch):
     assert set(alike) <= {(min(p), max(p)) for p in substring_dedup.tied(parts, doc, np.zeros(len(rows), bool), 46, 0.8).tolist()}
 
 
+def test_rows_that_are_not_alike_are_not_verified(monkeypatch):
+    """Hundreds of texts that repeat a word almost often enough: no row is verified with all others, and none is lost."""
+    calls, common = [], substring_dedup.common
+    monkeypatch.setattr(substring_dedup, "common", lambda *a: calls.append(1) or common(*a))
+    texts = [" ".join([f"a{i}"] * 45 + ["and"] * (40 + i % 10) + [f"b{i}"] * 45) for i in range(200)] + [t for _, t in family(20)]
+    parts, doc = substring_dedup.split(texts), np.arange(240)
+    alike = [(i, j) for i, j in combinations(range(200, 240), 2) if common(*parts[i][:2], *parts[j][:2], 46, 0.8)]
+    made = substring_dedup.tied(parts, doc, np.zeros(240, bool), 46, 0.8).tolist()
+    assert roots(240, made) == roots(240, alike) and {max(p) for p in made} >= {j for _, j in alike}
+    assert len(calls) < 800
+
+
 def test_recent_windows():
     recent = substring_dedup.Recent()
     a = lambda *v: np.array(v, np.int64)
