@@ -222,45 +222,59 @@ def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids, sketches = keys[-REACH:], ids[-REACH:], sketches[-REACH:]
 
 
-def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs that may be near copies and are in different groups so far, from rows (key, chunk, asks, id, group,
-    sketch) sorted by key and chunk, those that do not ask first: the chunk's rows, and what is held against them."""
-    at, held, waiting = None, [], []
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        if held and waiting:
-            (i, g, x), (j, h, y) = ((np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join([r[2] for r in rows]), np.uint8).reshape(len(rows), -1)) for rows in (held, waiting))
-            same = np.zeros((len(y), len(x)), np.uint8)
-            for k in range(BANDS * DEPTH):
-                same += y[:, k, None] == x[None, :, k]
-            p, q = np.nonzero((same >= agreement()) & (h[:, None] != g[None]))
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(j[p], i[q])), pa.array(np.minimum(j[p], i[q]))], ["a", "b"])
-        waiting.clear()
+def left_over(once: DataFrame, joined: DataFrame, said: DataFrame, width: int, similarity: float, seed: int) -> DataFrame:
+    """Links (a, b) of texts with a band in common that are in different groups of ``joined`` and are near copies, as many
+    as tie the groups together. Of each band's key the rows of one group, the least, are not held against each other, all
+    others against all, where their texts (``said``) are: a pair that is no near copy makes no row."""
 
-    for batch in batches:
-        for key, chunk, asks, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (key, chunk) != at:
-                yield from pairs()
-                at, held = (key, chunk), []
-            (waiting if asks else held).append(row)
-            if len(waiting) == 512:
-                yield from pairs()
-    yield from pairs()
-
-
-def left_over(once: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts with a band in common that are in different groups of ``joined`` and may be near copies.
-    Of each band's key the rows of one group, the least, are not held against each other, all others against all."""
-    rows = once.join(joined, once["node"] == joined["id"], "left").select("node", "sketch", "bands", F.coalesce("component", "node").alias("group"))
-    bands = rows.select(F.explode("bands").alias("key"), F.col("node").alias("id"), "group", "sketch")
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, chunk, asks, id, group, text) sorted by key and chunk, those that do not ask first: the chunk's
+        rows, and what is held against them."""
+        at, held, flat, forest = None, [], None, {}
+
+        def find(g: int) -> int:
+            while forest.setdefault(g, g) != g:
+                forest[g] = g = forest[forest[g]]
+            return g
+
+        for batch in batches:
+            out = []
+            for key, chunk, asks, node, group, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, chunk) != at:
+                    at, held, flat, forest = (key, chunk), [], None, {}
+                own = np.unique(shingle_digests(x or "", width, seed).view(">u8").astype(np.uint64))
+                if not asks:
+                    held.append((node, group, own))
+                    continue
+                if not held:
+                    continue
+                if flat is None:
+                    flat, inverse = np.unique(np.concatenate([r[2] for r in held]), return_inverse=True)
+                    nodes, groups, sizes = np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([len(r[2]) for r in held])
+                    row = np.repeat(np.arange(len(held)), sizes)
+                known = np.zeros(len(flat) + 1, bool)
+                place = np.searchsorted(flat, own)
+                known[place[np.append(flat, 0)[place] == own]] = True
+                both = np.bincount(row[known[inverse]], minlength=len(held))
+                near = np.flatnonzero((both / np.maximum(sizes + len(own) - both, 1) >= similarity) & (groups != group))
+                for i in near[np.unique(groups[near], return_index=True)[1]].tolist():
+                    a, b = find(group), find(int(groups[i]))
+                    if a != b:
+                        forest[a] = b
+                        out.append((max(node, int(nodes[i])), min(node, int(nodes[i]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    rows = once.join(joined, once["node"] == joined["id"], "left").select("node", "bands", F.coalesce("component", "node").alias("group"))
+    bands = rows.select(F.explode("bands").alias("key"), "node", "group")
     mixed = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("main"), F.max("group").alias("most"))
     mixed = mixed.where((F.col("n") > VERIFIED + 1) & (F.col("main") < F.col("most"))).select("key", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     dealt = saved(bands.join(mixed, "key"), "mixed-bands")
-    members = dealt.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("asks", F.lit(False))
+    texts_of = said.join(dealt.select("node").distinct(), "node").dropDuplicates(["node"])
+    members = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("asks", F.lit(False))
     asks = dealt.where(F.col("group") != F.col("main")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("asks", F.lit(True))
-    columns = ["key", "chunk", "asks", "id", "group", "sketch"]
-    work = members.select(*columns).unionByName(asks.select(*columns))
+    columns = ["key", "chunk", "asks", "node", "group"]
+    work = members.select(*columns).unionByName(asks.select(*columns)).join(texts_of, "node").select(*columns, "t")
     return work.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "asks").mapInArrow(tidy(rest), "a long, b long").distinct()
 
 
@@ -332,9 +346,10 @@ def text_groups(docs: DataFrame, text: str, key: str, width: int, similarity: fl
         return source.join(asked, ["id", "words"]).select("a", "b", "side", "t").repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(tidy(verify), "a long, b long")
 
     joined = components(similar(pairs), "a", "b")
-    more = saved(left_over(once, joined), "near-copy-candidates")
+    said_by = source.join(equal.select("node", F.col("rep").cast("long").alias("id"), "words"), ["id", "words"]).select("node", "t")
+    more = saved(left_over(once, joined, said_by, width, similarity, seed), "near-copy-links")
     if more.head(1):
-        joined = components(similar(more).unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
+        joined = components(more.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))), "a", "b")
     members = equal.select("node", "words", "rep").join(joined, equal["node"] == joined["id"], "left").select("words", "rep", F.coalesce("component", "node").alias("group"))
     least = members.groupBy("group").agg(F.min("rep").alias("component_id"))
     return prints.select("id", "words"), members.join(least, "group").select("words", "rep", "group", "component_id")

@@ -97,6 +97,26 @@ def test_no_near_copy_is_left_out_of_a_large_group(spark, data, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [forest.find(i) for i in range(len(texts))]
 
 
+def test_pairs_that_are_not_alike_make_no_rows(spark, monkeypatch):
+    """In a large group of texts of which each is near the others, but none near enough."""
+    made = []
+
+    def noted(df, name, saved=simhash_dedup.saved):
+        made.append(saved(df, name))
+        return made[-1]
+
+    monkeypatch.setattr(simhash_dedup, "saved", noted)
+    rng = random.Random(43)
+    base, rows = rng.choices([f"k{j}" for j in range(3000)], k=600), []
+    for i in range(80):
+        words = list(base)
+        for at in rng.sample(range(600), 11):
+            words[at] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    spark.createDataFrame(rows, "doc_id long, text string").transform(simhash_dedup.near_copies)
+    assert made[-2].count() > 80 and made[-1].count() <= 80
+
+
 def odd_rows():
     """Repeated rows, a key with two texts, null and empty texts, null keys, and columns with names used within."""
     rng = random.Random(33)
