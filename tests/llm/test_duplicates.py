@@ -275,6 +275,46 @@ def test_rows_that_are_not_alike_are_not_verified(monkeypatch):
     assert len(calls) < 800
 
 
+def test_rows_with_few_shingles_in_common_are_not_swept(monkeypatch):
+    """Hundreds of texts share a phrase that is too short to be a passage: a row's sweep does not go over all others."""
+    rng = random.Random(41)
+    say = lambda n: rng.choices(WORDS, k=n)
+    phrase, swept, sweep = say(14), [], substring_dedup.Unit._of_others
+    monkeypatch.setattr(substring_dedup.Unit, "_of_others", lambda self, *a: swept.append(max(len(x) for x in a if isinstance(x, np.ndarray))) or sweep(self, *a))
+    texts = [" ".join(say(40) + phrase + say(40)) for _ in range(200)] + [t for _, t in family(20)]
+    parts, doc = substring_dedup.split(texts), np.arange(240)
+    alike = [(i, j) for i, j in combinations(range(200, 240), 2) if substring_dedup.common(*parts[i][:2], *parts[j][:2], 46, 0.8)]
+    made = substring_dedup.tied(parts, doc, np.zeros(240, bool), 46, 0.8).tolist()
+    assert roots(240, made) == roots(240, alike) and {max(p) for p in made} >= {j for _, j in alike}
+    assert sum(swept) < 20 * sum(len(p[0]) for p in parts)
+
+
+def test_shingles_that_rows_share():
+    """As many as two multisets have in common, and whatever has a passage in common has enough."""
+    rng = random.Random(43)
+    texts = [" ".join(rng.choices("ab", k=rng.randint(0, 90))) for _ in range(60)] + ["", "a b c", " ".join(["a"] * 80)]
+    texts += [t for _, t in family(10)] + [" ".join(rng.choices(WORDS, k=60)) for _ in range(5)]
+    parts = substring_dedup.split(texts)
+    unit, count = substring_dedup.Unit(parts, 46, 0.8), [Counter(p[0].tolist()) for p in parts]
+    for x, y in combinations(range(len(parts)), 2):
+        assert unit.shared(x)[y] == unit.shared(y)[x] == (count[x] & count[y]).total()
+        if substring_dedup.common(*parts[x][:2], *parts[y][:2], 46, 0.8):
+            assert unit.shared(x)[y] >= unit.need and x in unit.hopes(y, np.ones(len(parts), bool))
+
+
+def test_exact_windows_are_linked_to_the_first():
+    rng = random.Random(47)
+    rows = [np.array(rng.choices(range(1, 3), k=rng.randint(0, 12)), np.uint64) for _ in range(80)]
+    doc = np.array(rng.choices(range(40), k=80))
+    need, least = set(), {}
+    for i in sorted(range(80), key=lambda i: (doc[i], i)):
+        for at in range(len(rows[i]) - 5):
+            first = least.setdefault(tuple(rows[i][at : at + 6].tolist()), i)
+            if doc[first] != doc[i]:
+                need.add((i, first))
+    assert need and set(map(tuple, substring_dedup.firsts(rows, doc, 6).tolist())) == need
+
+
 def test_recent_windows():
     recent = substring_dedup.Recent()
     a = lambda *v: np.array(v, np.int64)
