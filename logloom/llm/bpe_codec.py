@@ -212,20 +212,25 @@ class WordCodec:
             starts, ends = starts[full], ends[full]
         return joined, points, starts, ends, np.searchsorted(starts, offsets)
 
+    def parts(self, rows: list[str], special: Callable[[int], object]) -> tuple[list[str], list[list]]:
+        """The texts between control strings, and for each row the numbers of its texts with ``special``'s results between."""
+        parts: list[str] = []
+        plan: list[list] = []
+        for text in rows:
+            at, mine = 0, []
+            for m in self.cut.finditer(text) if self.cut and "<" in text else ():
+                mine += [len(parts), special(self.special[m[0]])]
+                parts.append(text[at : m.start()])
+                at = m.end()
+            mine.append(len(parts))
+            parts.append(text[at:] if at else text)
+            plan.append(mine)
+        return parts, plan
+
     def per_row(self, rows: list[str], memo: Memo, special: Callable[[int], object]) -> Iterator[list]:
         """For each text the memo's results for its words in order; ``special`` gives those of control strings."""
         for a, b in char_chunks(rows):
-            parts: list[str] = []
-            plan: list[list] = []
-            for text in rows[a:b]:
-                at, mine = 0, []
-                for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-                    mine += [len(parts), special(self.special[m[0]])]
-                    parts.append(text[at : m.start()])
-                    at = m.end()
-                mine.append(len(parts))
-                parts.append(text[at:] if at else text)
-                plan.append(mine)
+            parts, plan = self.parts(rows[a:b], special)
             joined, points, starts, ends, at = self.words(parts)
             values: list = []
             inverse = np.zeros(0, np.int64)

@@ -13,19 +13,18 @@ import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .bpe_codec import codec
+from .bpe_codec import WordCodec, codec
 from .runtime import loaded, tidy
-from .textnum import Memo, texts
+from .textnum import char_chunks, prefix_hash, span_hash, texts
 
-if TYPE_CHECKING:
-    from tokenizers import Tokenizer
+#: Texts are worked on in chunks of about so many characters, so that a chunk's arrays stay in a core's cache.
+CHUNK_CHARS = 1 << 17
 
 
 class HarmonicPacker:
@@ -104,23 +103,145 @@ class HarmonicPacker:
         return rows
 
 
-@loaded(2)
-def ids_memo(path: str) -> Memo:
-    """Ids of words as the tokenizer library gives them, as little-endian bytes."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of words as the tokenizer library gives them, remembered in arrays.
+
+    A word of up to ``LONG`` code points is known by its 64-bit hash, in a table with open addressing; longer ones are
+    asked for wherever they occur. Beyond ``size`` words, or ``IDS`` times as many ids, the half that was used last stays.
+    """
+
+    LONG, IDS = 64, 6
+
+    def __init__(self, path: str, size: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        from tokenizers.normalizers import Sequence
+
+        self.library = Tokenizer.from_file(path)
+        self.library.normalizer = Sequence([])  # words come in normal form
+        suffix, vocab = self.library.model.end_of_word_suffix, self.library.get_vocab()
+        self.closing = np.zeros(max(vocab.values()) + 1, bool)
+        self.closing[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        self.size, self.now = size, 0
+        none = np.zeros(0, np.uint32)
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.build(none.astype(np.uint64), none, none, none)
+
+    def build(self, keys: np.ndarray, start: np.ndarray, count: np.ndarray, last: np.ndarray, room: int = 0) -> None:
+        """A new table of these words, at most half full with ``room`` more."""
+        slots = 1 << max(16, (2 * (len(keys) + room) - 1).bit_length())
+        self.n, self.mask = 0, slots - 1
+        self.keys, self.start, self.count, self.last = np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.uint16), np.zeros(slots, np.uint32)
+        self.insert(keys, start, count, last)
+
+    def find(self, h: np.ndarray, slot: np.ndarray | None = None) -> np.ndarray:
+        """Each hash's slot, or the empty one where its search, which may begin at ``slot``, ends."""
+        if slot is None:
+            slot = (h & np.uint64(self.mask)).astype(np.int64)
+        key = self.keys[slot]
+        todo = np.flatnonzero((key != h) & (key != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & self.mask
+            key = self.keys[slot[todo]]
+            todo = todo[(key != h[todo]) & (key != 0)]
+        return slot
+
+    def insert(self, h: np.ndarray, start: np.ndarray, count: np.ndarray, last: np.ndarray | int) -> None:
+        """Takes distinct hashes that the table does not have."""
+        if 2 * (self.n + len(h)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            self.build(self.keys[old], self.start[old], self.count[old], self.last[old], len(h))
+        slot, todo = self.find(h), np.arange(len(h))
+        while len(todo):
+            self.keys[slot[todo]] = h[todo]  # one of those that meet stays
+            todo = todo[self.keys[slot[todo]] != h[todo]]
+            slot[todo] = self.find(h[todo], slot[todo])
+        self.start[slot], self.count[slot], self.last[slot] = start, count, last
+        self.n += len(h)
 
-    library = Tokenizer.from_file(path)
-    return Memo(lambda words: [ids for at in range(0, len(words), 512) for ids in word_ids(library, words[at : at + 512])], 150_000)
+    def trim(self) -> None:
+        """Keeps the words that were used last, in half of the room."""
+        old = np.flatnonzero(self.keys)
+        keep = old[np.argsort(self.last[old], kind="stable")[::-1][: self.size // 2]]
+        keep = keep[np.cumsum(self.count[keep], dtype=np.int64) <= self.IDS * self.size // 2]
+        start, count = self.start[keep].astype(np.int64), self.count[keep].astype(np.int64)
+        ids, begins = self.gather(start, count), np.cumsum(count) - count
+        self.ids, self.used = ids, len(ids)
+        self.build(self.keys[keep], begins, count, self.last[keep])
+
+    def gather(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def append(self, ids: np.ndarray, at: int) -> int:
+        """Writes ids behind the first ``at``; the end of what is written."""
+        end = at + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[:at], np.zeros(max(at // 2, len(ids)), "<u4")])
+        self.ids[at:end] = ids
+        return end
+
+    def ask(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids one after another and how many each has: joined by white space, they end where a piece closes a word."""
+        every, counts = [], []
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            found = self.library.encode_batch_fast([" ".join(some[k : k + 64]) for k in range(0, len(some), 64)], add_special_tokens=False)
+            ids = np.array([i for x in found for i in x.ids], "<u4")
+            count = np.diff(np.flatnonzero(self.closing[ids]) + 1, prepend=0)
+            if len(count) != len(some):  # the library splits a word: each is asked for alone
+                found = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                ids, count = np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found])
+            every.append(ids)
+            counts.append(count)
+        return np.concatenate([*every, np.zeros(0, "<u4")]), np.concatenate([*counts, np.zeros(0, np.int64)])
+
+    def many(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian bytes."""
+        ids, count = self.ask(words)
+        raw, ends = ids.tobytes(), (4 * np.cumsum(count)).tolist()
+        return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+    def of(self, joined: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text's words one after another, and how many each has."""
+        text = lambda which: [joined[s:e] for s, e in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        if self.n > self.size or self.used > self.IDS * self.size or len(self.ids) > 2 * self.IDS * self.size:
+            self.trim()
+        self.now += 1
+        h = np.maximum(span_hash(prefix_hash(points), starts, ends), np.uint64(1))
+        short = ends - starts <= self.LONG
+        slot = self.find(h)
+        new = np.flatnonzero((self.keys[slot] != h) & short)
+        if len(new):
+            keys, first = np.unique(h[new], return_index=True)
+            ids, count = self.ask(text(new[first]))
+            begins = self.used + np.cumsum(count) - count
+            self.used = self.append(ids, self.used)
+            self.insert(keys, begins, count, self.now)
+            slot = self.find(h)
+        start, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
+        self.last[slot[short]] = self.now
+        if len(long := np.flatnonzero(~short)):
+            ids, count[long] = self.ask(text(long))
+            start[long] = self.used + np.cumsum(count[long]) - count[long]
+            self.append(ids, self.used)  # for this call alone
+        return self.gather(start, count), count
+
+
+@loaded(2)
+def ids_memo(path: str) -> WordIds:
+    return WordIds(path)
 
 
-def word_ids(library: Tokenizer, words: list[str]) -> list[bytes]:
-    """Each word's ids, asked for in one call: white space parts words, and an id belongs to the word it begins in."""
-    found = library.encode(" ".join(words), add_special_tokens=False)
-    begins = np.cumsum([0, *(len(w) + 1 for w in words)])
-    ids = np.array(found.ids, "<u4").tobytes()
-    cuts = (4 * np.searchsorted([o[0] for o in found.offsets], begins)).tolist()
-    return [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+def encoded(words: WordCodec, memo: WordIds, rows: list[str]) -> Iterator[bytes]:
+    """Each text's ids as little-endian bytes."""
+    for a, b in char_chunks(rows, CHUNK_CHARS):
+        parts, plan = words.parts(rows[a:b], lambda i: i.to_bytes(4, "little"))
+        joined, points, starts, ends, at = words.words(parts)
+        ids, count = memo.of(joined, points, starts, ends)
+        raw, edges = ids.tobytes(), (4 * np.append(0, np.cumsum(count)))[at].tolist()
+        for mine in plan:
+            yield b"".join([x if k % 2 else raw[edges[x] : edges[x + 1]] for k, x in enumerate(mine)])
 
 
 def pack(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -151,9 +272,8 @@ def pack(docs: DataFrame, path: str, capacity: int, end_id: int, text: str = "te
 
         for batch in batches:
             kind = batch.column(0).type
-            every = words.per_row(texts(batch.column(1)), memo, lambda i: i.to_bytes(4, "little"))
-            for k, got in zip(batch.column(0).to_pylist(), every, strict=True):
-                packer.add(k, b"".join(got) + end)
+            for k, ids in zip(batch.column(0).to_pylist(), encoded(words, memo, texts(batch.column(1))), strict=True):
+                packer.add(k, ids + end)
             yield from out()
         packer.finish()
         yield from out()

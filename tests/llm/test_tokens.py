@@ -65,6 +65,52 @@ def test_ids_of_words_asked_for_together(rows, library):
     assert [np.frombuffer(b"".join(x), "<u4").tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in rows]
 
 
+def ids_of(memo, rows):
+    return [np.frombuffer(x, "<u4").tolist() for x in packing.encoded(bpe_codec.codec(WORDS), memo, rows)]
+
+
+def test_words_seen_before_are_not_asked_for_again(monkeypatch):
+    asked = []
+    real = packing.WordIds.ask
+    monkeypatch.setattr(packing.WordIds, "ask", lambda self, words: asked.append(len(words)) or real(self, words))
+    letters = np.array(list("abcdefghij"))
+    rows = [" ".join("".join(letters[[int(d) for d in str(k)]]) for k in range(at, at + 8000)) for at in range(0, 320_000, 8000)]
+    memo = packing.WordIds(WORDS)
+    first = ids_of(memo, rows)
+    assert sum(asked) == 320_000 and ids_of(memo, rows) == first and sum(asked) == 320_000
+
+
+@settings(max_examples=30, deadline=None)
+@given(rows=st.lists(ODD, min_size=1, max_size=6), long=st.integers(60, 70))
+def test_remembered_words_in_small_tables(rows, long, library):
+    rows = [*rows, "a" * long + " b <|endoftext|>" + "é" * 200, "", "<|startoftext|>", "漢" * long + " 'sb"]
+    memo = packing.WordIds(WORDS, 5)
+    for part in ([*rows, *rows], rows[::-1], rows):
+        assert ids_of(memo, part) == [library.encode(x, add_special_tokens=False).ids for x in part]
+
+
+def test_table_drops_the_words_used_longest_ago(library):
+    memo, rows = packing.WordIds(WORDS, 2000), [" ".join(f"w{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}" for b in range(26) for c in range(26)) for a in range(26)]
+    for row in [*rows, *rows[::-1]]:
+        assert ids_of(memo, [row]) == [library.encode(row, add_special_tokens=False).ids] and memo.n <= 2000 + 676
+    memo.trim()
+    assert memo.n <= 1000 and ids_of(memo, rows) == [library.encode(x, add_special_tokens=False).ids for x in rows]
+
+
+def test_hashes_that_meet_in_the_table():
+    memo = packing.WordIds(WORDS)
+    k = np.arange(600, dtype=np.uint64)
+    h = np.uint64(65534) + k % np.uint64(3) + (k << np.uint64(40))
+    for at in range(0, 600, 200):
+        memo.insert(h[at : at + 200], np.arange(at, at + 200), 1, 0)
+    assert (memo.keys[memo.find(h)] == h).all() and (memo.start[memo.find(h)] == np.arange(600)).all()
+
+
+def test_words_that_the_library_splits_are_asked_for_alone(library):
+    words = ["a b", "c", "longer words", "x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.ids_memo(WORDS).many(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_long_units(pieces, library):
     for t in ("a" * 4000, "ab" * 3000, " " * 999, "'" * 99, "don't we'll 'sup ''s x's's"):
         assert token_counts.counter(PIECES).count([t])[0] == len(pieces.encode(t))
